@@ -27,7 +27,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm.common import col, documents
+from quillgraph.llm.common import col, documents, map_rows
 
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -96,10 +96,9 @@ def bpe_encode(docs: DataFrame, rank_file: str = RANK_FILE, part_chars: int = PA
     """``docs`` (``keep_text``: with its text) with ``tokens array<int>``, ``n_tokens long`` and, to ``verify``, ``round_trip boolean``."""
     added = ["tokens", "n_tokens", *(["round_trip"] if verify else [])]
     keep = [c for c in docs.columns if c.lower() not in added]
-    fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep and (keep_text or f.name != "text")]
-    fields += ["tokens array<int>", "n_tokens long", *(["round_trip boolean"] if verify else [])]
     run = encoder(rank_file, part_chars, at_col=keep.index("text"), keep_text=keep_text, verify=verify)
-    return docs.select(*[col(c) for c in keep]).mapInArrow(run, ", ".join(fields))
+    schema = "tokens array<int>, n_tokens long" + (", round_trip boolean" if verify else "")
+    return map_rows(docs.select(*[col(c) for c in keep]), run, schema, dropped=() if keep_text else ("text",))
 
 
 def decoder(rank_file: str, rows: int = 256, at_col: int = 0):
@@ -117,8 +116,7 @@ def decoder(rank_file: str, rows: int = 256, at_col: int = 0):
 def bpe_decode(tokens: DataFrame, rank_file: str = RANK_FILE) -> DataFrame:
     """``tokens`` with ``decoded binary``, the joined bytes of the column ``tokens``."""
     keep = [c for c in tokens.columns if c.lower() != "decoded"]
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in tokens.schema.fields if f.name in keep)
-    return tokens.select(*[col(c) for c in keep]).mapInArrow(decoder(rank_file, at_col=keep.index("tokens")), fields + ", decoded binary")
+    return map_rows(tokens.select(*[col(c) for c in keep]), decoder(rank_file, at_col=keep.index("tokens")), "decoded binary")
 
 
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,20 @@ def columns(df: DataFrame) -> list[Column]:
     return [col(c) for c in df.columns]
 
 
+def map_rows(df: DataFrame, run, added: str, dropped: tuple[str, ...] = ()) -> DataFrame:
+    """``df.mapInArrow(run, ...)`` for a ``run`` that returns its columns (but ``dropped``) and then those ``added``.
+
+    Columns travel under plain names, since PySpark looks them up by name and
+    takes dots for field access.
+    """
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    kept = [(p, f) for p, f in zip(plain, df.schema.fields, strict=True) if f.name not in dropped]
+    schema = ", ".join([*[f"{p} {f.dataType.simpleString()}" for p, f in kept], added])
+    sent = df.select(*[col(c).alias(p) for c, p in zip(df.columns, plain, strict=True)])
+    new = [x.split()[0] for x in added.split(", ")]
+    return sent.mapInArrow(run, schema).select(*[F.col(p).alias(f.name) for p, f in kept], *[F.col(n) for n in new])
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Smallest id of each connected component: ``(node, root)`` for every node of ``edges``.
 

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import col, columns, documents, fresh
+from quillgraph.llm.common import col, columns, documents, fresh, map_rows
 
 MIN_WORDS = 50
 ANCHOR_WORDS = 25
@@ -308,8 +308,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: in
     first = F.min("text").over(Window.partitionBy("doc_id"))
     joined = docs.where(col("doc_id").isNotNull()).withColumn(text_, first).join(spans, docs["doc_id"] == F.col(id_), "left")
     joined = joined.withColumn(spans_, F.when(col("text") == col(text_), col(spans_)))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    cut = joined.select(*columns(docs), col("text").alias(text_), col(spans_)).mapInArrow(_cut, f"{fields}, {cut_} string")
+    cut = map_rows(joined.select(*columns(docs), col("text").alias(text_), col(spans_)), _cut, f"{cut_} string", dropped=(text_, spans_))
     return cut.select(*[col(cut_).alias(c) if c == "text" else col(c) for c in docs.columns]).unionByName(docs.where(col("doc_id").isNull()))
 
 
