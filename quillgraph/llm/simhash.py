@@ -10,8 +10,11 @@ drawn from them:
 * ``SEGMENTS`` index segments of 32 bits. A plain SimHash segment of this width
   flips 5 bits at such edits, and the Hamming ball that would find it has
   242,825 members. So a segment is a SimHash under random weights
-  ``u ** -POWER``, drawn anew for each segment: few features decide it, and
-  when an edit spares those it flips one bit at most.
+  ``u ** -POWER``: few features decide it, and when an edit spares those it
+  flips one bit at most. Its two halves are drawn under weights of their own,
+  because texts that share no more than a common phrase or a boilerplate line
+  may well have one half decided by it, but hardly ever both: bucket sizes
+  follow the square of that chance.
 
 Around each segment the Hamming ball of radius 1 is enumerated (33 values), the
 table of segments is joined on (segment, value), and each pair so found is
@@ -43,10 +46,11 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import col, columns, connected_components, documents, fresh
 from quillgraph.session import materialise
 
-SEGMENTS = 5
-SEGMENT_BITS = 32
-POWER = 2.0
-#: Features that can decide a segment; under POWER 2 the rest weigh below a thousandth.
+SEGMENTS = 8
+HALF_BITS = 16
+SEGMENT_BITS = 2 * HALF_BITS
+POWER = 2.5
+#: Features that can decide a segment; under this POWER the rest weighs below a thousandth.
 DECIDING = 32
 WORDS_64 = 4
 MAX_DISTANCE = 66
@@ -55,8 +59,8 @@ REMEMBERED = 1 << 19
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
-_SEEDS = (np.arange(1, SEGMENTS + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))[:, None]
-_BITS = np.arange(SEGMENT_BITS, dtype=np.uint64)
+_SEEDS = (np.arange(1, 2 * SEGMENTS + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))[:, None]
+_BITS = np.arange(HALF_BITS, dtype=np.uint64)
 _SIGN_SEEDS = (np.arange(11, 11 + WORDS_64, dtype=np.uint64) * _U(0xA0761D6478BD642F))[:, None]
 
 
@@ -98,7 +102,8 @@ def fingerprint(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = mix(z * _U(0x2545F4914F6CDD1D) + _U(12345))
     signs = ((bits[:, :, None] >> _BITS) & _U(1)).astype(np.float64) * 2 - 1
     on = (signs * weights[:, :, None]).sum(1) > 0
-    segments = (on.astype(np.int64) << np.arange(SEGMENT_BITS)).sum(1)
+    halves = (on.astype(np.int64) << np.arange(HALF_BITS)).sum(1)
+    segments = halves[0::2] | halves[1::2] << HALF_BITS
 
     ones = np.zeros(64 * WORDS_64, dtype=np.int64)
     for at in range(0, len(f), 8192):
