@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import col, columns, documents, fresh
+from quillgraph.session import materialise
 
 COUNTERS = 1024
 
@@ -54,11 +55,11 @@ def misra_gries(k: int):
 def frequent_digests(digests: DataFrame, k: int = COUNTERS) -> list[bytes]:
     """Candidates for heavy hitters among a one-column frame of digests: at most ``k + 1`` of them."""
     summaries = digests.mapInArrow(misra_gries(k), "digest binary, n long")
-    total = summaries.groupBy("digest").agg(F.sum("n").alias("n"))
+    # A few counters for each partition; written, so that the texts are read once for them.
+    total = materialise(summaries.groupBy("digest").agg(F.sum("n").alias("n")), "frequent")
     # Summed counters fall short of the truth by n / (k + 1) at most, so a
     # counter above that bound is kept and the kept ones number k + 1 at most.
-    n = F.sum(F.when(F.col("digest").isNull(), F.col("n")))
-    bound = summaries.agg((n / (k + 1)).alias("bound"))
+    bound = total.where(F.col("digest").isNull()).select((F.col("n") / (k + 1)).alias("bound"))
     over = total.join(F.broadcast(bound), (F.col("n") > F.col("bound")) & (F.col("n") > 1) & F.col("digest").isNotNull())
     return [bytes(r["digest"]) for r in over.collect()]
 
@@ -77,12 +78,15 @@ def exact_dedup(docs: DataFrame, k: int = COUNTERS, copies: str | None = None) -
     )
     # At most k + 1 rows of some 40 bytes, whatever the input.
     left = df.join(F.broadcast(heavy), digest_, "left").where(col(n_).isNull() | col("doc_id").eqNullSafe(col(first_)))
+    # Null texts are spread by a hash of their row; nothing is dropped among them.
+    left = left.withColumn(tie_, F.xxhash64(*hashable)).withColumn(digest_, F.coalesce(col(digest_), F.unhex(F.md5(col(tie_).cast("string")))))
     by = Window.partitionBy(digest_)
-    order = by.orderBy(col("doc_id").asc_nulls_last(), col(tie_))
-    texts = left.where(col(digest_).isNotNull()).withColumn(tie_, F.xxhash64(*hashable)).withColumn(rank_, F.row_number().over(order))
+    order = by.orderBy(col("text").isNotNull().desc(), col("doc_id").asc_nulls_last(), col(tie_))
+    ranked = left.withColumn(rank_, F.row_number().over(order))
     if copies:
-        texts = texts.withColumn(n_, F.coalesce(col(n_), F.count("*").over(by)))
-    kept = texts.where(col(rank_) == 1).drop(tie_, rank_).unionByName(left.where(col(digest_).isNull()).withColumn(n_, F.lit(1).cast("long")))
+        same = F.count_if(col("text").isNotNull()).over(by)
+        ranked = ranked.withColumn(n_, F.when(col("text").isNull(), 1).otherwise(F.coalesce(col(n_), same)))
+    kept = ranked.where(col("text").isNull() | (col(rank_) == 1))
     out = columns(docs)
     return kept.select(*out, col(n_).alias(copies)) if copies else kept.select(*out)
 
