@@ -84,7 +84,7 @@ def demand_segments(schedule: DataFrame, supply: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, schedule: DataFrame | None = None, temperatures=TEMPERATURES, seed: str = SEED, position: str | None = None, tokens: str | None = None) -> DataFrame:
     """The documents in training order; ``position`` and ``tokens`` name columns for these."""
-    key_, tok_, hash_, range_, tie_, run_, before_, upto_, pos_ = fresh(docs, "key", "tok", "hash", "range", "tie", "run", "before", "upto", "pos")
+    key_, tok_, hash_, range_, tie_, run_, before_, segs_, upto_, pos_ = fresh(docs, "key", "tok", "hash", "range", "tie", "run", "before", "segs", "upto", "pos")
     hashable = [col(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     order = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(col("doc_id").cast("string"), F.lit(""))))
     df = docs.withColumns({
@@ -96,14 +96,17 @@ def mix(docs: DataFrame, schedule: DataFrame | None = None, temperatures=TEMPERA
 
     totals = df.select(col(key_).alias("key"), col(range_).alias("range"), col(tok_).alias("tok")).groupBy("key", "range").agg(F.sum("tok").alias("tok"))
     supply = totals.groupBy("key").agg(F.sum("tok").alias("tokens"))
-    starts = totals.select(col("key").alias(key_), col("range").alias(range_), (F.sum("tok").over(Window.partitionBy("key").orderBy("range")) - F.col("tok")).alias(before_))
     segments = demand_segments(schedule if schedule is not None else temperature_schedule(supply, temperatures), supply)
+    per_source = segments.where(F.col("c1") > F.col("c0")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("c0", "c1", "t0", "h", "a", "b", "budget"))).alias("segs"))
+    # Where a range begins and what its source is due: a row for each range of each source,
+    # so that the documents themselves are joined once, by range, and never by source.
+    starts = totals.withColumn("before", F.sum("tok").over(Window.partitionBy("key").orderBy("range")) - F.col("tok")).join(per_source, "key")
+    starts = starts.select(col("key").alias(key_), col("range").alias(range_), col("before").alias(before_), F.col("segs").alias(segs_))
 
     within = Window.partitionBy(key_, range_).orderBy(hash_, col("doc_id").asc_nulls_last(), tie_).rowsBetween(Window.unboundedPreceding, 0)
     df = df.join(starts, [key_, range_]).withColumn(run_, col(before_) + F.sum(tok_).over(within) - col(tok_))
-    seg = segments.select(F.col("key").alias("seg_key"), "t0", "h", "a", "b", "c0", "c1", "budget").where(F.col("c1") > F.col("c0"))
-    # A handful of rows per source; which side moves is left to the optimiser's view of their size.
-    hit = df.join(seg.select(F.struct("*").alias(upto_)), (col(key_) == col(upto_)["seg_key"]) & (col(run_) >= col(upto_)["c0"]) & (col(run_) < col(upto_)["c1"]))
+    at = F.filter(col(segs_), lambda x: (x["c0"] <= col(run_)) & (col(run_) < x["c1"]))
+    hit = df.withColumn(upto_, F.try_element_at(at, F.lit(1))).where(col(upto_).isNotNull())
     s = lambda f: col(upto_)[f]
     q = (col(run_) - s("c0")) / s("budget")
     root = F.sqrt(F.greatest(s("a") * s("a") + 2 * (s("b") - s("a")) * q / s("h"), F.lit(0.0)))
