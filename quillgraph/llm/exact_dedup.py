@@ -52,18 +52,25 @@ def misra_gries(k: int):
     return run
 
 
-def frequent_digests(digests: DataFrame, k: int = COUNTERS) -> list[bytes]:
-    """Candidates for heavy hitters among a one-column frame of digests: at most ``k + 1`` of them."""
-    summaries = digests.mapInArrow(misra_gries(k), "digest binary, n long")
+def frequent(summaries: DataFrame, k: int, least: int = 1) -> list[bytes]:
+    """What partitions' summaries (``digest, n``; the null digest has the rows seen) name as frequent: ``k + 1`` at most.
+
+    Every digest in more than ``2 n / (k + 1)`` rows, and in over ``least``, is among them, and none in ``n / (k + 1)`` or fewer.
+    """
     # A few counters for each partition; written, so that the texts are read once for them.
     total = materialise(summaries.groupBy("digest").agg(F.sum("n").alias("n")), "frequent")
     # Summed counters fall short of the truth by n / (k + 1) at most, so a
     # counter above that bound is kept and the kept ones number k + 1 at most.
     bound = total.where(F.col("digest").isNull()).select((F.col("n") / (k + 1)).alias("bound"))
-    over = total.join(F.broadcast(bound), (F.col("n") > F.col("bound")) & (F.col("n") > 1) & F.col("digest").isNotNull())
+    over = total.join(F.broadcast(bound), (F.col("n") > F.col("bound")) & (F.col("n") > least) & F.col("digest").isNotNull())
     return [bytes(r["digest"]) for r in over.collect()]
 
 
+def frequent_digests(digests: DataFrame, k: int = COUNTERS) -> list[bytes]:
+    """Candidates for heavy hitters among a one-column frame of digests."""
+    return frequent(digests.mapInArrow(misra_gries(k), "digest binary, n long"), k)
+
+
 def exact_dedup(docs: DataFrame, k: int = COUNTERS, copies: str | None = None) -> DataFrame:
     """One row of each text; ``copies`` names a column for the number of rows that had it."""
     spark = docs.sparkSession

@@ -4,9 +4,9 @@ A text is lower-cased and cut into words; its features are the hashes of its
 distinct word pairs (of its only word, if it has one). Two fingerprints are
 drawn from them:
 
-* a *signature* of 256 bits, a plain SimHash in which all features weigh the
-  same, for the complete distance: unrelated texts differ in 128 bits, texts
-  with a tenth of their words changed in about 45;
+* a *signature* of 512 bits, a plain SimHash in which all features weigh the
+  same, for the complete distance: unrelated texts differ in 256 bits, texts
+  with a tenth of their words changed in about 90;
 * ``SEGMENTS`` index segments of 32 bits. A plain SimHash segment of this width
   flips 5 bits at such edits, and the Hamming ball that would find it has
   242,825 members. So a segment is a SimHash under random weights
@@ -22,6 +22,13 @@ verified by its complete distance, ``MAX_DISTANCE`` at most. Verified pairs are
 closed to groups by connected components; of each group the smallest
 ``doc_id`` stays.
 
+Boilerplate says nothing about a text: lines that are frequent on their own
+(in about a hundredth of all texts or more, at least ``LEAST_BOILERPLATE``, but
+not beside the same other line) are left out of its features, unless nothing
+else is left. Misra-Gries summaries of lines and of neighbouring pairs of lines
+find them; copies of a text, however many, have their pairs in common and so
+keep their lines.
+
 No cap on partners: equal signatures (copies) are folded into one
 representative before the index, which leaves no hot keys but texts that are
 near copies of each other, and those pairs are the answer.
@@ -35,6 +42,7 @@ stays. An empty table gives an empty table; extra columns are carried along.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +52,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import col, columns, connected_components, documents, fresh
+from quillgraph.llm.exact_dedup import frequent, shrink
 from quillgraph.session import materialise
 
 SEGMENTS = 8
@@ -52,11 +61,16 @@ SEGMENT_BITS = 2 * HALF_BITS
 POWER = 2.5
 #: Features that can decide a segment; under this POWER the rest weighs below a thousandth.
 DECIDING = 32
-WORDS_64 = 4
-MAX_DISTANCE = 66
+WORDS_64 = 8
+MAX_DISTANCE = 128
+#: Counters for lines and pairs of lines: a text has some ten lines, so 2,048 tell what is in a hundredth of the texts.
+LINE_COUNTERS = 2048
+LEAST_BOILERPLATE = 100
 #: Word hashes that a worker remembers; a matter of speed alone.
 REMEMBERED = 1 << 19
 
+SIGNATURE = [f"s{i}" for i in range(WORDS_64)]
+
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 _SEEDS = (np.arange(1, 2 * SEGMENTS + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))[:, None]
@@ -73,9 +87,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def features(text: str, seen: dict[str, int]) -> np.ndarray:
-    """Sorted distinct hashes of the pairs of neighbouring words."""
-    words = _WORD.findall(text.lower())
+def line_hash(line: str) -> bytes:
+    return xxhash.xxh3_64_digest(line.strip())
+
+
+def _line_counts(k: int):
+    """Misra-Gries summaries of the lines of texts (8 bytes) and of their neighbouring pairs (16 bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[bytes] = Counter()
+        n = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                for text in batch.column(0).slice(at, 1000):
+                    lines = [line_hash(x) for x in text.as_py().split("\n") if x.strip()]
+                    items = {*lines, *[a + b for a, b in zip(lines, lines[1:], strict=False)]}
+                    n += len(items)
+                    counts.update(items)
+                counts = Counter(shrink(counts, k))
+        yield pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.binary()), pa.array([n, *counts.values()], pa.int64())], ["digest", "n"])
+
+    return run
+
+
+def boilerplate(docs: DataFrame, k: int = LINE_COUNTERS, least: int = LEAST_BOILERPLATE) -> frozenset[bytes]:
+    """Hashes of the lines that are frequent, but in no frequent pair; ``k + 1`` at most."""
+    texts = docs.where(col("text").isNotNull()).select(col("text").alias("text"))
+    found = frequent(texts.mapInArrow(_line_counts(k), "digest binary, n long"), k, least)
+    paired = {h for x in found if len(x) == 16 for h in (x[:8], x[8:])}
+    return frozenset(x for x in found if len(x) == 8 and x not in paired)
+
+
+def features(text: str, seen: dict[str, int], dropped: frozenset[bytes] = frozenset()) -> np.ndarray:
+    """Sorted distinct hashes of the pairs of neighbouring words, without ``dropped`` lines if anything is left then."""
+    words: list[str] = []
+    if dropped:
+        words = _WORD.findall("\n".join([x for x in text.split("\n") if line_hash(x) not in dropped]).lower())
+    words = words or _WORD.findall(text.lower())
     hashes = []
     for w in words:
         h = seen.get(w)
@@ -114,34 +162,37 @@ def fingerprint(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return segments, signature
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[str, int] = {}
-    for batch in batches:
-        ids, segments, signatures = [], [], []
-        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-            f = features(text.as_py(), seen)
-            if len(f):
-                s, g = fingerprint(f)
-                ids.append(doc_id.as_py())
-                segments.append(s)
-                signatures.append(g)
-        if ids:
-            s = pa.array(np.concatenate(segments), pa.int64())
-            g = np.stack(signatures)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(np.arange(0, len(s) + 1, SEGMENTS, dtype=np.int32), s), *[pa.array(np.ascontiguousarray(g[:, i])) for i in range(WORDS_64)]],
-                ["doc_id", "segments", *[f"s{i}" for i in range(WORDS_64)]],
-            )
+def _fingerprints(dropped: frozenset[bytes]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for batch in batches:
+            ids, segments, signatures = [], [], []
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                f = features(text.as_py(), seen, dropped)
+                if len(f):
+                    s, g = fingerprint(f)
+                    ids.append(doc_id.as_py())
+                    segments.append(s)
+                    signatures.append(g)
+            if ids:
+                s = pa.array(np.concatenate(segments), pa.int64())
+                g = np.stack(signatures)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(np.arange(0, len(s) + 1, SEGMENTS, dtype=np.int32), s), *[pa.array(np.ascontiguousarray(g[:, i])) for i in range(WORDS_64)]],
+                    ["doc_id", "segments", *SIGNATURE],
+                )
+
+    return run
+
 
 
-SIGNATURE = [f"s{i}" for i in range(WORDS_64)]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, segments, s0..s3`` of every row with a ``doc_id`` and a word."""
+    """``doc_id, segments, s0..s7`` of every row with a ``doc_id`` and a word."""
     schema = "doc_id long, segments array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
     rows = docs.where(col("doc_id").isNotNull() & col("text").isNotNull()).select(col("doc_id").cast("long").alias("doc_id"), col("text").alias("text"))
-    return rows.mapInArrow(_fingerprints, schema)
+    return rows.mapInArrow(_fingerprints(boilerplate(rows)), schema)
 
 
 def near_pairs(folded: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -174,11 +225,12 @@ def near_dedup(docs: DataFrame, max_distance: int = MAX_DISTANCE, group_size: st
     if group_size:
         groups = groups.withColumn("size", F.count("*").over(Window.partitionBy("root")))
     named = groups.select(F.col("doc_id").alias(id_), F.col("root").alias(root_), (F.col("size") if group_size else F.lit(1).cast("long")).alias(size_))
-    rows = docs.where(col("doc_id").isNotNull())
-    left = rows.join(named, rows["doc_id"] == named[id_], "left").where(col(root_).isNull() | (col(root_) == col("doc_id")))
-    # Partitioned by doc_id already; only repeated rows meet here.
+    # Hashed before the join, so that texts travel only where they are asked for.
     hashable = [col(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    left = left.withColumn(text_, F.xxhash64(col("text"))).withColumn(tie_, F.xxhash64(*hashable))
+    rows = docs.where(col("doc_id").isNotNull()).withColumn(text_, F.xxhash64(col("text"))).withColumn(tie_, F.xxhash64(*hashable))
+    # Groups grow with the input: a merge join at every size, never a broadcast.
+    left = rows.join(named.hint("merge"), rows["doc_id"] == named[id_], "left").where(col(root_).isNull() | (col(root_) == col("doc_id")))
+    # Partitioned by doc_id already; only repeated rows meet here.
     left = left.withColumn(rank_, F.row_number().over(Window.partitionBy(col("doc_id"), col(text_)).orderBy(tie_))).where(col(rank_) == 1)
     kept = left.select(*columns(docs), F.coalesce(col(size_), F.lit(1)).alias(size_)).union(docs.where(col("doc_id").isNull()).select(*columns(docs), F.lit(1).cast("long")))
     return kept.select(*columns(docs), col(size_).alias(group_size)) if group_size else kept.select(*columns(docs))

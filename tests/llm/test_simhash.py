@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from quillgraph.llm.common import connected_components
-from quillgraph.llm.simhash import MAX_DISTANCE, features, fingerprint, fingerprints, near_dedup, near_groups, near_pairs
+from quillgraph.llm.simhash import MAX_DISTANCE, boilerplate, features, line_hash, fingerprint, fingerprints, near_dedup, near_groups, near_pairs
 from tests.llm.fixtures import awkward, clashing, docs, prose, row
 
 
@@ -38,6 +38,19 @@ def test_pairs_against_brute_force(spark):
     assert all(d == distances(rows)[p] for p, d in list(got.items())[:3])
 
 
+def test_boilerplate_is_not_likeness(spark):
+    header = prose(900, 30)
+    short = [row(i, f"{header}\n{prose(1000 + i, 9)}") for i in range(140)]
+    base = [prose(2000 + i, 25) for i in range(8)]
+    copies = [row(1000 + i, "\n".join([*base[:-1], edited(base[-1], 0.3, i)])) for i in range(150)]
+    df = docs(spark, short + copies)
+    assert boilerplate(df) == {line_hash(header)}
+    kept = [r.doc_id for r in near_dedup(df).collect()]
+    assert sorted(x for x in kept if x < 1000) == list(range(140)) and [x for x in kept if x >= 1000] == [1000]
+    only = docs(spark, [row(i, header) for i in range(140)])
+    assert [r.doc_id for r in near_dedup(only).collect()] == [0] and boilerplate(docs(spark, [])) == frozenset()
+
+
 def test_one_of_each_group_stays(spark):
     rows = corpus()
     kept = {r.doc_id for r in near_dedup(docs(spark, rows)).collect()}
