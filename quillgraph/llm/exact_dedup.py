@@ -74,9 +74,10 @@ def frequent_digests(digests: DataFrame, k: int = COUNTERS) -> list[bytes]:
 def exact_dedup(docs: DataFrame, k: int = COUNTERS, copies: str | None = None) -> DataFrame:
     """One row of each text; ``copies`` names a column for the number of rows that had it."""
     spark = docs.sparkSession
-    digest_, n_, first_, rank_, tie_ = fresh(docs, "digest", "n", "first", "rank", "tie")
+    digest_, n_, first_, rank_, tie_, text_ = fresh(docs, "digest", "n", "first", "rank", "tie", "hastext")
     hashable = [col(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    df = docs.withColumn(digest_, F.unhex(F.md5(col("text"))))
+    # What is known of a text before the shuffle, so that texts travel only where they are asked for.
+    df = docs.withColumn(digest_, F.unhex(F.md5(col("text")))).withColumn(text_, col("text").isNotNull()).withColumn(tie_, F.xxhash64(*hashable))
     hot = frequent_digests(df.where(col("text").isNotNull()).select(digest_), k)
     candidates = spark.createDataFrame([(d,) for d in hot], f"`{digest_}` binary")
     heavy = (
@@ -86,14 +87,14 @@ def exact_dedup(docs: DataFrame, k: int = COUNTERS, copies: str | None = None) -
     # At most k + 1 rows of some 40 bytes, whatever the input.
     left = df.join(F.broadcast(heavy), digest_, "left").where(col(n_).isNull() | col("doc_id").eqNullSafe(col(first_)))
     # Null texts are spread by a hash of their row; nothing is dropped among them.
-    left = left.withColumn(tie_, F.xxhash64(*hashable)).withColumn(digest_, F.coalesce(col(digest_), F.unhex(F.md5(col(tie_).cast("string")))))
+    left = left.withColumn(digest_, F.coalesce(col(digest_), F.unhex(F.md5(col(tie_).cast("string")))))
     by = Window.partitionBy(digest_)
-    order = by.orderBy(col("text").isNotNull().desc(), col("doc_id").asc_nulls_last(), col(tie_))
+    order = by.orderBy(col(text_).desc(), col("doc_id").asc_nulls_last(), col(tie_))
     ranked = left.withColumn(rank_, F.row_number().over(order))
     if copies:
-        same = F.count_if(col("text").isNotNull()).over(by)
-        ranked = ranked.withColumn(n_, F.when(col("text").isNull(), 1).otherwise(F.coalesce(col(n_), same)))
-    kept = ranked.where(col("text").isNull() | (col(rank_) == 1))
+        same = F.count_if(col(text_)).over(by)
+        ranked = ranked.withColumn(n_, F.when(~col(text_), 1).otherwise(F.coalesce(col(n_), same)))
+    kept = ranked.where(~col(text_) | (col(rank_) == 1))
     out = columns(docs)
     return kept.select(*out, col(n_).alias(copies)) if copies else kept.select(*out)
 
