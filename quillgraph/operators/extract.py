@@ -77,6 +77,14 @@ def cap(raw: DataFrame, segment: str, min_confidence: float = MIN_CONFIDENCE, pe
     return kept.withColumn("__n", F.row_number().over(Window.partitionBy(segment).orderBy("pos"))).where(F.col("__n") <= per_segment).drop("__n")
 
 
+def batches(chunks: DataFrame, size: int = 5) -> DataFrame:
+    """``doc_id, batch, contents``: the chunks of a document in groups of ``size``, in order, for one call each."""
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index"))
+    numbered = chunks.withColumn("batch", F.floor((n - 1) / size))
+    order = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))
+    return numbered.groupBy("doc_id", "batch").agg(F.transform(order, lambda x: x["content"]).alias("contents"))
+
+
 def extract(chunks: DataFrame, complete: Callable[[list[dict]], str], prompt: str, concurrency: int = 8) -> DataFrame:
     """Facts of ``chunks`` (doc_id, source, chunk_index, content), each with its own provenance.
 

@@ -38,6 +38,20 @@ def new_documents(documents: DataFrame, known: DataFrame, facts: DataFrame) -> D
     return documents.join(done, "id", "left_anti")
 
 
+def unseen(segments: DataFrame, hashes: DataFrame, content: str = "content") -> DataFrame:
+    """Segments whose normalised content has no hash among ``hashes`` (a column ``content_hash``), one of each content."""
+    from quillgraph.functions.text import content_hash
+
+    new = segments.withColumn("content_hash", content_hash(F.col(content))).join(hashes.select("content_hash").distinct(), "content_hash", "left_anti")
+    order = Window.partitionBy("content_hash").orderBy(*[c for c in segments.columns if c != content])
+    return new.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+
+
+def hydrate(facts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The facts of ``ids`` (a column ``id``)."""
+    return facts.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def delete_document(documents: DataFrame, facts: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     return documents.where(F.col("path") != path), facts.where(F.col("source_doc") != path)
 
@@ -134,8 +148,13 @@ class Store:
         stream = self._fs.create(self._path(f"{self.folder}/{table}/.CURRENT-{v}"), True)
         stream.write(bytearray(v.encode()))
         stream.close()
-        self._fs.delete(self._pointer(table), False)
-        self._fs.rename(self._path(f"{self.folder}/{table}/.CURRENT-{v}"), self._pointer(table))
+        # One step for readers: the pointer is there before and after.
+        jvm = self.spark.sparkContext._jvm
+        option = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(option, 1)
+        options[0] = option.OVERWRITE
+        here = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        here.rename(self._path(f"{self.folder}/{table}/.CURRENT-{v}"), self._pointer(table), options)
         return v
 
     def delete(self) -> None:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as tx
 from quillgraph.operators import assemble, bm25, evaluate, extract, graph, resolve, resolver, store, synth
 from quillgraph.operators import triples as tr
-from quillgraph.plans import samples
+from quillgraph.plans import corpus, samples
 from quillgraph.sources import loaders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -639,3 +639,49 @@ def token_f1(spark, d):
     s = spark.createDataFrame(samples.GOLD, "id int, a string, g string")
     a, g = F.col("a"), F.col("g")
     return s.select("id", evaluate.exact_match(a, g).alias("exact"), evaluate.is_correct(F.array(g), a).alias("correct"), evaluate.token_f1(a, g).alias("f1"))
+
+
+# Lookups and batches
+
+
+@query(f"WITH {FACTS} SELECT id, subject_id FROM facts WHERE object_id IN ('n:2', 'r:1', 'c:5')")
+def facts_by_object(spark, d):
+    o = seeds(spark, "n:2", "r:1", "c:5").select(F.col("node").alias("object_id"))
+    return tr.all_facts(spark, d).join(o, "object_id", "left_semi").select("id", "subject_id")
+
+
+@query(f"WITH {FACTS} SELECT id, predicate FROM facts WHERE subject_id LIKE 'c:%' AND object_id = 'n:' || (CAST(substr(subject_id, 3) AS INTEGER) % 25)")
+def facts_by_pair(spark, d):
+    c = tr.table(spark, d, "customer")
+    pairs = c.select(tr.key("c", "c_custkey").alias("subject_id"), F.concat(F.lit("n:"), (F.col("c_custkey") % 25).cast("string")).alias("object_id"))
+    return tr.all_facts(spark, d).join(pairs, ["subject_id", "object_id"], "left_semi").select("id", "predicate")
+
+
+@query(f"WITH {FACTS} SELECT id, subject_id, coalesce(object_id, object_value) AS target FROM facts WHERE id IN (SELECT 'cl:' || c_custkey FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT 'os:' || o_orderkey FROM orders WHERE o_totalprice > 200000)")
+def hydrate_facts(spark, d):
+    ids = tr.table(spark, d, "customer").where("c_acctbal > 5000").select(tr.key("cl", "c_custkey").alias("id")).union(tr.table(spark, d, "orders").where("o_totalprice > 200000").select(tr.key("os", "o_orderkey")))
+    return store.hydrate(tr.all_facts(spark, d), ids).select("id", "subject_id", F.coalesce("object_id", "object_value").alias("target"))
+
+
+@query(f"SELECT min(doc_id) AS doc_id FROM documents WHERE {NORMAL.format('text')} NOT IN (SELECT {NORMAL.format('text')} FROM documents WHERE source = 'src1') GROUP BY {NORMAL.format('text')}")
+def unseen_content(spark, d):
+    t = docs(spark, d)
+    known = t.where("source = 'src1'").select(tx.content_hash(F.col("text")).alias("content_hash"))
+    return store.unseen(t.select("doc_id", "text"), known, "text").select("doc_id")
+
+
+@query("""WITH n AS (SELECT user_id, event_id, event_type, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 5 AS batch FROM events)
+SELECT user_id AS doc_id, batch, string_agg(event_type, ' ' ORDER BY event_id) AS contents FROM n GROUP BY user_id, batch""")
+def segment_batches(spark, d):
+    e = tr.table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("chunk_index"), F.col("event_type").alias("content"))
+    return extract.batches(e).select("doc_id", "batch", F.array_join("contents", " ").alias("contents"))
+
+
+@query("SELECT * FROM (VALUES (1, 100::BIGINT, 1.0::DOUBLE), (2, 50::BIGINT, 1.0::DOUBLE)) AS v(hops, n, accuracy)")
+def resolver_accuracy(spark, d):
+    """How many of 150 questions on the fictional corpus are answered right without a model, by the facts they take."""
+    c = corpus.companies(spark)
+    qs = corpus.questions(c)
+    found = resolver.resolve_questions(qs.select("qid", "text"), corpus.facts(c), corpus.entities(c))
+    right = F.coalesce(evaluate.exact_match(F.col("answer"), F.col("expected")), F.lit(False)).cast("int")
+    return qs.join(found, "qid", "left").groupBy("hops").agg(F.count("*").alias("n"), F.round(F.avg(right), 6).alias("accuracy"))
