@@ -29,9 +29,11 @@ else is left. Misra-Gries summaries of lines and of neighbouring pairs of lines
 find them; copies of a text, however many, have their pairs in common and so
 keep their lines.
 
-No cap on partners: equal signatures (copies) are folded into one
-representative before the index, which leaves no hot keys but texts that are
-near copies of each other, and those pairs are the answer.
+No cap on partners. Equal signatures (copies) are folded into one
+representative before the index. Near copies are joined to the first of their
+bucket if they are within the distance of it, and only pairs that this leaves
+in different groups are taken from the index: a group of k texts costs about k
+comparisons, not k squared, and comes out the same.
 
 Cases: texts without a word (null, empty, blank, only marks) have no
 fingerprint and stay. Rows without a ``doc_id`` stay. Rows that share a
@@ -195,26 +197,60 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints(boilerplate(rows)), schema)
 
 
-def near_pairs(folded: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Pairs ``a < b`` of ``id`` within ``max_distance``, found through the segment index of ``id, segments, s0..``."""
-    segment = folded.select("id", F.posexplode("segments").alias("seg", "value"))
-    # The segment's number sits above its 32 bits: one long is the whole key.
-    key = F.shiftleft(F.col("seg").cast("long"), SEGMENT_BITS)
-    table = segment.select((key + F.col("value")).alias("key"), F.col("id").alias("b"))
-    ball = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(SEGMENT_BITS)])
-    probes = segment.select(F.col("id").alias("a"), (key + F.col("value")).alias("at"), F.explode(ball).alias("flip")).select((F.col("at").bitwiseXOR(F.col("flip"))).alias("key"), "a")
-    found = probes.join(table.hint("shuffle_hash"), "key").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+def segment_keys(folded: DataFrame) -> DataFrame:
+    """``id, key`` and what else ``folded`` has but signatures; a segment's number sits above its 32 bits."""
+    rest = [c for c in folded.columns if c not in ("id", "segments", *SIGNATURE)]
+    seg = folded.select("id", *rest, F.posexplode("segments").alias("seg", "value"))
+    return seg.select("id", *rest, (F.shiftleft(F.col("seg").cast("long"), SEGMENT_BITS) + F.col("value")).alias("key"))
+
+
+def verified(found: DataFrame, folded: DataFrame, max_distance: int) -> DataFrame:
+    """Pairs ``a, b`` whose complete distance is ``max_distance`` at most, with it."""
     of = lambda end: folded.select(F.col("id").alias(end), *[F.col(s).alias(f"{end}_{s}") for s in SIGNATURE])
     distance = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in SIGNATURE), F.lit(0))
     return found.join(of("a"), "a").join(of("b"), "b").where(distance <= max_distance).select("a", "b", distance.alias("distance"))
 
 
+def near_pairs(folded: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """Pairs ``a < b`` of ``id`` within ``max_distance``, found through the segment index of ``id, segments, s0..``.
+
+    With a column ``root`` only pairs whose roots differ are looked for.
+    """
+    rooted = "root" in folded.columns
+    # As a difference a root is mostly 0, which shuffles to next to nothing.
+    step = [(F.col("id") - F.col("root")).alias("step")] if rooted else []
+    segment = segment_keys(folded.select("id", "segments", *step))
+    table = segment.select("key", F.col("id").alias("b"), *(["step"] if rooted else []))
+    if rooted:
+        table = table.withColumnRenamed("step", "b_step")
+    ball = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(SEGMENT_BITS)])
+    probes = segment.select(F.col("id").alias("a"), *(["step"] if rooted else []), "key", F.explode(ball).alias("flip")).withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
+    new = (F.col("a") - F.col("step") != F.col("b") - F.col("b_step")) if rooted else F.lit(True)
+    found = probes.join(table.hint("shuffle_hash"), "key").where((F.col("a") < F.col("b")) & new).select("a", "b").distinct()
+    return verified(found, folded, max_distance)
+
+
+def near_edges(folded: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """``a, b``: verified pairs that connect whatever ``near_pairs`` connects, but not all pairs of a large group.
+
+    First each member of a bucket is held against the bucket's smallest id.
+    What that joins has one root; the index is then asked only for pairs with
+    different roots, all of them. A pair left out has one root already.
+    """
+    keys = segment_keys(folded)
+    first = keys.withColumn("a", F.min("id").over(Window.partitionBy("key"))).where(F.col("a") < F.col("id"))
+    stars = materialise(verified(first.select("a", F.col("id").alias("b")).distinct(), folded, max_distance).select("a", "b"), "stars")
+    roots = connected_components(stars).where(F.col("node") != F.col("root")).select(F.col("node").alias("id"), "root")
+    labelled = materialise(folded.join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    return stars.union(near_pairs(labelled, max_distance).select("a", "b"))
+
+
 def near_groups(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``doc_id, root`` of every document in a group of two or more; ``root`` is the group's smallest ``doc_id``."""
     prints = materialise(fingerprints(docs), "simhash")
-    folded = prints.groupBy(*SIGNATURE, "segments").agg(F.min("doc_id").alias("id"))
+    folded = materialise(prints.groupBy(*SIGNATURE, "segments").agg(F.min("doc_id").alias("id")), "folded")
     copies = prints.withColumn("id", F.min("doc_id").over(Window.partitionBy(*SIGNATURE, "segments"))).where(F.col("id") != F.col("doc_id"))
-    edges = near_pairs(folded, max_distance).select("a", "b").union(copies.select("id", "doc_id"))
+    edges = near_edges(folded, max_distance).union(copies.select("id", "doc_id"))
     return connected_components(edges).select(F.col("node").alias("doc_id"), "root")
 
 

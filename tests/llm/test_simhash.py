@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from quillgraph.llm.common import connected_components
-from quillgraph.llm.simhash import MAX_DISTANCE, boilerplate, features, line_hash, fingerprint, fingerprints, near_dedup, near_groups, near_pairs
+from quillgraph.llm.simhash import MAX_DISTANCE, boilerplate, features, line_hash, fingerprint, fingerprints, near_dedup, near_edges, near_groups, near_pairs
 from tests.llm.fixtures import awkward, clashing, docs, prose, row
 
 
@@ -38,6 +38,15 @@ def test_pairs_against_brute_force(spark):
     assert all(d == distances(rows)[p] for p, d in list(got.items())[:3])
 
 
+def test_edges_connect_what_pairs_connect(spark):
+    rows = corpus() + [row(500 + i, edited(prose(77, 200), (0.04, 0.1)[i % 2], i)) for i in range(60)]
+    prints = fingerprints(docs(spark, rows)).withColumnRenamed("doc_id", "id").cache()
+    groups = lambda e: {(r.node, r.root) for r in connected_components(e.select("a", "b")).collect()}
+    pairs, edges = near_pairs(prints), near_edges(prints)
+    assert groups(edges) == groups(pairs)
+    assert edges.where("a >= 500").count() < 0.5 * pairs.where("a >= 500").count()
+
+
 def test_boilerplate_is_not_likeness(spark):
     header = prose(900, 30)
     short = [row(i, f"{header}\n{prose(1000 + i, 9)}") for i in range(140)]
