@@ -47,8 +47,8 @@ def parser() -> argparse.ArgumentParser:
 
 def settings(args) -> Config:
     chosen = {k: v for k, v in load_user().items() if k in ("provider", "model")}
-    config = Config.from_dict(chosen | Config.from_env().to_dict() if not chosen else Config.from_env().to_dict() | chosen)
-    return Config.from_dict(config.to_dict() | ({"kb_dir": args.kb} if args.kb else {}))
+    config = Config.from_dict(chosen | Config.from_env().as_mapping() if not chosen else Config.from_env().as_mapping() | chosen)
+    return Config.from_dict(config.as_mapping() | ({"kb_dir": args.kb} if args.kb else {}))
 
 
 def connect(args) -> int:
@@ -57,8 +57,8 @@ def connect(args) -> int:
         for i, n in enumerate(sorted(KNOWN), 1):
             print(f"{i}. {n}")
         name = sorted(KNOWN)[int(input("Provider: ")) - 1]
-    key = KNOWN[name][2]
-    saved = {"provider": name, "model": args.model or KNOWN[name][3]}
+    key = KNOWN[name][3]
+    saved = {"provider": name, "model": args.model or KNOWN[name][2]}
     if key and sys.stdin.isatty() and (said := getpass.getpass(f"{key} (empty to read it from the environment): ")):
         saved[key] = said
     print("saved to", save_user(saved))
@@ -70,7 +70,7 @@ def run(args) -> int:
     if args.command == "connect":
         return connect(args)
     if args.command == "config":
-        print(json.dumps(config.to_dict(), indent=2))
+        print(json.dumps(config.as_mapping(), indent=2))
         return 0
     spark = get_session()
     spark.sparkContext.setLogLevel("ERROR")

@@ -57,7 +57,7 @@ class Config:
 
         return cls.from_dict((yaml.safe_load(Path(path).read_text()) or {}).get("quillgraph") or {})
 
-    def to_dict(self) -> dict[str, Any]:
+    def as_mapping(self) -> dict[str, Any]:
         return asdict(self)
 
 

@@ -14,7 +14,7 @@ RAW_SCHEMA = "pos int, subject string, predicate string, object string, object_v
 MIN_CONFIDENCE = 0.6
 MAX_PER_SEGMENT = 50
 
-_FENCES = re.compile(r"^```(?:json)?\s*|```\s*$")
+_FENCES = re.compile(r"^`{3}(?:json)?\s*|`{3}\s*$")
 
 
 def scan_objects(text: str) -> list[dict]:
@@ -97,7 +97,7 @@ def extract(chunks: DataFrame, complete: Callable[[list[dict]], str], prompt: st
         for pdf in frames:
             rows = []
             for r in pdf.itertuples(index=False):
-                messages = [{"role": "system", "content": prompt}, {"role": "user", "content": r.content}]
+                messages = [dict(role="system", content=prompt), dict(role="user", content=r.content)]
                 facts: list[dict] = []
                 for _ in range(2):
                     try:

@@ -29,14 +29,14 @@ ANSWER_COLUMNS = ["qid", "answer", "fact_ids", "trace", "confidence", "tokens_us
 
 def parse_subquestions(response: str | None, limit: int) -> list[str]:
     """A JSON array, or lines that look like questions, or what commas or "and" part."""
-    text = re.sub(r"^```(?:json)?\s*|```\s*$", "", (response or "").strip()).strip()
+    text = re.sub(r"^`{3}(?:json)?\s*|`{3}\s*$", "", (response or "").strip()).strip()
     try:
-        parsed = json.loads(text)
-    except json.JSONDecodeError:
-        parsed = None
-    if isinstance(parsed, list):
-        return [x for x in (str(i).strip() for i in parsed) if x][:limit]
-    lines = [re.sub(r'^\d+[.)]\s*|^"\s*|\s*"$', "", x.strip()) for x in re.split(r"[\n\r]+", text)]
+        listed = json.loads(text)
+    except ValueError:
+        listed = None
+    if isinstance(listed, list):
+        return [x for x in (str(i).strip() for i in listed) if x][:limit]
+    lines = [re.sub(r'^\d+[.)]\s*|^"\s*|\s*"$', "", x.strip()) for x in re.split(r"[\r\n]+", text)]
     found = [x for x in lines if "?" in x or len(x) > 10]
     if not found and text:
         found = text.split(",") if "," in text else re.split(r"\s+and\s+", text, maxsplit=4)

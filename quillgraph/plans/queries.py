@@ -446,7 +446,7 @@ def resolve_questions(spark, d):
 
 
 YEAR = "coalesce(regexp_full_match(v, '\\s*(19|20)[0-9]{2}\\s*'), false)"
-SHAPE = f"CASE shape WHEN 'year' THEN {YEAR} WHEN 'place' THEN coalesce(NOT {YEAR} AND length(trim(v)) >= 2 AND len({WORDS.format('v')}) <= 5, false) WHEN 'industry' THEN coalesce({contains_any('lower(v)', ('company', 'industry', 'sector', 'business', 'tech'))}, false) WHEN 'phrase' THEN coalesce(length(trim(v)) >= 2 AND len({WORDS.format('v')}) <= 15, false) ELSE true END"
+SHAPE = f"CASE shape WHEN 'year' THEN {YEAR} WHEN 'place' THEN coalesce(NOT {YEAR} AND length(trim(v)) >= 2 AND len({WORDS.format('v')}) <= 5, false) WHEN 'industry' THEN coalesce({contains_any('lower(v)', tx.INDUSTRY_CUES)}, false) WHEN 'phrase' THEN coalesce(length(trim(v)) >= 2 AND len({WORDS.format('v')}) <= 15, false) ELSE true END"
 SAMPLED = "s AS (SELECT id, v, shape FROM " + values(samples.ANSWER_SAMPLES, "id", "v", "shape") + ")"
 
 
@@ -615,7 +615,7 @@ def strip_labels(spark, d):
     return spark.createDataFrame(samples.LABELLED, "id int, t string").select("id", tx.strip_labels(F.col("t")).alias("cleaned"))
 
 
-@query(f"WITH s AS (SELECT id, v FROM {values(samples.ANSWER_SAMPLES, 'id', 'v', 'shape')}), w AS (SELECT *, {WORDS.format('v')} AS ws FROM s WHERE v IS NOT NULL) SELECT id, CASE WHEN len(ws) = 0 THEN true WHEN lower(ws[1]) IN ({in_list([*tx.PREPOSITIONS, 'which', 'that', 'where', 'when', 'while'])}) THEN true WHEN len(ws) <= 2 THEN NOT regexp_matches(ws[1], '^[0-9A-Z]') AND len(list_filter(ws, lambda x: length(x) > 3 AND contains('what is the ceramics market', lower(x)))) = 0 ELSE false END AS fragment FROM w")
+@query(f"WITH s AS (SELECT id, v FROM {values(samples.ANSWER_SAMPLES, 'id', 'v', 'shape')}), w AS (SELECT *, {WORDS.format('v')} AS ws FROM s WHERE v IS NOT NULL) SELECT id, CASE WHEN len(ws) = 0 THEN true WHEN lower(ws[1]) IN ({in_list([*tx.PREPOSITIONS, *tx.CLAUSE_STARTS])}) THEN true WHEN len(ws) <= 2 THEN NOT regexp_matches(ws[1], '^[0-9A-Z]') AND len(list_filter(ws, lambda x: length(x) > 3 AND contains('what is the ceramics market', lower(x)))) = 0 ELSE false END AS fragment FROM w")
 def answer_fragments(spark, d):
     s = spark.createDataFrame(samples.ANSWER_SAMPLES, "id int, v string, shape string").where("v IS NOT NULL")
     return s.select("id", tx.synth_fragment(F.col("v"), F.lit("What is the ceramics market")).alias("fragment"))

@@ -80,8 +80,9 @@ class HttpProvider:
             r = self._request("/messages", body | {"system": system, "messages": [m for m in messages if m["role"] != "system"]})
             return "".join(x.get("text", "") for x in r.get("content", []))
         if self.style == "local":
-            return self._request("/api/chat", {"model": self.model, "messages": messages, "stream": False, "options": {"temperature": temperature, "num_predict": max_tokens}})["message"]["content"]
-        return self._request("/chat/completions", body | {"messages": messages})["choices"][0]["message"]["content"] or ""
+            return self._request("/api/chat", {"options": {"num_predict": max_tokens, "temperature": temperature}, "stream": False, "messages": messages, "model": self.model})["message"]["content"]
+        first = self._request("/chat/completions", body | {"messages": messages})["choices"][0]
+        return first["message"]["content"] or ""
 
     def list_models(self) -> list[str]:
         r = self._request("/api/tags" if self.style == "local" else "/models")
@@ -91,13 +92,13 @@ class HttpProvider:
         yield self.complete(messages, **options)
 
 
-#: Name: (address, style, variable of the key, model).
+#: Name: (style, address, model, variable of the key).
 KNOWN = {
-    "groq": ("https://api.groq.com/openai/v1", "openai", "GROQ_API_KEY", "llama-3.3-70b-versatile"),
-    "openai": ("https://api.openai.com/v1", "openai", "OPENAI_API_KEY", "gpt-4o-mini"),
-    "anthropic": ("https://api.anthropic.com/v1", "messages", "ANTHROPIC_API_KEY", "claude-3-5-haiku-latest"),
-    "inception": ("https://api.inceptionlabs.ai/v1", "openai", "INCEPTION_API_KEY", "mercury"),
-    "ollama": ("http://localhost:11434", "local", None, "llama3.2"),
+    "groq": ("openai", "https://api.groq.com/openai/v1", "llama-3.3-70b-versatile", "GROQ_API_KEY"),
+    "openai": ("openai", "https://api.openai.com/v1", "gpt-4o-mini", "OPENAI_API_KEY"),
+    "anthropic": ("messages", "https://api.anthropic.com/v1", "claude-3-5-haiku-latest", "ANTHROPIC_API_KEY"),
+    "inception": ("openai", "https://api.inceptionlabs.ai/v1", "mercury", "INCEPTION_API_KEY"),
+    "ollama": ("local", "http://localhost:11434", "llama3.2", None),
 }
 ALIASES = {"mercury": "inception"}
 
@@ -111,5 +112,5 @@ def provider(name: str, model: str | None = None) -> Provider | None:
         return ScriptedProvider()
     if name not in KNOWN:
         raise ProviderError(f"unknown provider {name!r}; known are {', '.join(sorted(KNOWN))}")
-    url, style, key, default = KNOWN[name]
+    style, url, default, key = KNOWN[name]
     return HttpProvider(url, model or default, key, style)

@@ -106,7 +106,7 @@ def flatten_map(column: Column) -> Column:
 class _Tree(HTMLParser):
     """Text of the first of article, main, role=main and body, without what is not prose."""
 
-    SKIP = {"script", "style", "nav", "footer", "header", "aside"}
+    SKIP = set("aside footer header nav script style".split())
     VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
     def __init__(self) -> None:

@@ -113,7 +113,7 @@ def test_providers(monkeypatch):
         provider("nobody")
     monkeypatch.delenv("GROQ_API_KEY", raising=False)
     with pytest.raises(ProviderError):
-        provider("groq").complete([{"role": "user", "content": "x"}])
+        provider("groq").complete([dict(role="user", content="x")])
 
 
 def test_http_styles(monkeypatch):

@@ -65,7 +65,7 @@ def test_chunker_against_a_loop(spark):
     rng = random.Random(2)
     text = " ".join(" ".join("w" * rng.randrange(1, 5) for _ in range(rng.randrange(1, 30))) + rng.choice(".!?") for _ in range(60))
     want, open_, n = [], [], 0
-    for s in re.split(r"(?<=[.!?])\s+", text):
+    for s in re.split(r"(?<=[!?.])\s+", text):
         open_.append(s)
         n += math.floor(len(s.split()) * 1.3)
         if n >= 80:
