@@ -43,43 +43,193 @@ SENTENCES = {
     "mit-released": "Released under the MIT License.",
     "mit-licensed": "Licensed under the MIT License.",
     "mit-this": "This project is licensed under the MIT License.",
-    "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
-    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "as-is-software": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
-    "no-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "mit-grant": (
+        'Permission is hereby granted, free of charge, '
+        'to any person obtaining a copy of '
+        'this software and associated documentation files (the '
+        '"Software"), to deal in the Software without '
+        'restriction, including without limitation the rights to '
+        'use, copy, modify, merge, publish, distribute, sublicense, '
+        'and/or sell copies of the Software, and '
+        'to permit persons to whom the Software '
+        'is furnished to do so, subject to '
+        'the following conditions:'
+    ),
+    "mit-notice": (
+        "The above copyright notice and this permission "
+        "notice shall be included in all copies "
+        "or substantial portions of the Software."
+    ),
+    "as-is-software": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT '
+        'WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, '
+        'INCLUDING BUT NOT LIMITED TO THE WARRANTIES '
+        'OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE '
+        'AND NONINFRINGEMENT.'
+    ),
+    "no-liability": (
+        "IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+        "DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+        "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING "
+        "FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE."
+    ),
     "apache-short": "Licensed under the Apache License, Version 2.0.",
-    "apache-license": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
-    "apache-obtain": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "apache-obtain-s": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
-    "apache-unless": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
-    "apache-see": "See the License for the specific language governing permissions and limitations under the License.",
-    "gpl3-work": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl2-work": "This work is licensed under the GNU General Public License, version 2.",
-    "gpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
-    "gnu-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-    "gnu-hope-library": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "apache-license": (
+        'Licensed under the Apache License, Version 2.0 '
+        '(the "License"); you may not use this '
+        'file except in compliance with the License.'
+    ),
+    "apache-obtain": (
+        "You may obtain a copy of the "
+        "License at http://www.apache.org/licenses/LICENSE-2.0"
+    ),
+    "apache-obtain-s": (
+        "You may obtain a copy of the "
+        "License at https://www.apache.org/licenses/LICENSE-2.0"
+    ),
+    "apache-unless": (
+        'Unless required by applicable law or agreed '
+        'to in writing, software distributed under the '
+        'License is distributed on an "AS IS" '
+        'BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY '
+        'KIND, either express or implied.'
+    ),
+    "apache-see": (
+        "See the License for the specific language "
+        "governing permissions and limitations under the License."
+    ),
+    "gpl3-work": (
+        "This work is licensed under the GNU "
+        "General Public License, version 3."
+    ),
+    "gpl2-work": (
+        "This work is licensed under the GNU "
+        "General Public License, version 2."
+    ),
+    "gpl3-free": (
+        "This program is free software: you can "
+        "redistribute it and/or modify it under the "
+        "terms of the GNU General Public License "
+        "as published by the Free Software Foundation, "
+        "either version 3 of the License, or "
+        "(at your option) any later version."
+    ),
+    "gpl2-free": (
+        "This program is free software; you can "
+        "redistribute it and/or modify it under the "
+        "terms of the GNU General Public License "
+        "as published by the Free Software Foundation; "
+        "either version 2 of the License, or "
+        "(at your option) any later version."
+    ),
+    "lgpl21-free": (
+        "This library is free software; you can "
+        "redistribute it and/or modify it under the "
+        "terms of the GNU Lesser General Public "
+        "License as published by the Free Software "
+        "Foundation; either version 2.1 of the License, "
+        "or (at your option) any later version."
+    ),
+    "gnu-hope": (
+        "This program is distributed in the hope "
+        "that it will be useful, but WITHOUT "
+        "ANY WARRANTY; without even the implied warranty "
+        "of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE."
+    ),
+    "gnu-hope-library": (
+        "This library is distributed in the hope "
+        "that it will be useful, but WITHOUT "
+        "ANY WARRANTY; without even the implied warranty "
+        "of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE."
+    ),
     "gnu-details": "See the GNU General Public License for more details.",
-    "lgpl-details": "See the GNU Lesser General Public License for more details.",
-    "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
-    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "mpl2-source": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "mpl2-head": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "lgpl-details": (
+        "See the GNU Lesser General Public License "
+        "for more details."
+    ),
+    "bsd-grant": (
+        "Redistribution and use in source and binary "
+        "forms, with or without modification, are permitted "
+        "provided that the following conditions are met:"
+    ),
+    "bsd-source": (
+        "Redistributions of source code must retain the "
+        "above copyright notice, this list of conditions "
+        "and the following disclaimer."
+    ),
+    "bsd-binary": (
+        "Redistributions in binary form must reproduce the "
+        "above copyright notice, this list of conditions "
+        "and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution."
+    ),
+    "bsd-endorse": (
+        "Neither the name of the copyright holder "
+        "nor the names of its contributors may "
+        "be used to endorse or promote products "
+        "derived from this software without specific prior "
+        "written permission."
+    ),
+    "bsd-as-is": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT '
+        'HOLDERS AND CONTRIBUTORS "AS IS" AND ANY '
+        'EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        'LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY '
+        'AND FITNESS FOR A PARTICULAR PURPOSE ARE '
+        'DISCLAIMED.'
+    ),
+    "isc-grant": (
+        "Permission to use, copy, modify, and/or distribute "
+        "this software for any purpose with or "
+        "without fee is hereby granted, provided that "
+        "the above copyright notice and this permission "
+        "notice appear in all copies."
+    ),
+    "mpl2-source": (
+        "This Source Code Form is subject to "
+        "the terms of the Mozilla Public License, "
+        "v. 2.0."
+    ),
+    "mpl2-head": (
+        "This Source Code Form is subject to "
+        "the terms of the Mozilla Public License, "
+        "v."
+    ),
     "mpl2-tail": "2.0.",
-    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
-    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "mpl2-copy": (
+        "If a copy of the MPL was "
+        "not distributed with this file, You can "
+        "obtain one at http://mozilla.org/MPL/2.0/"
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released "
+        "into the public domain."
+    ),
     "cc-by-nc-4": "Licensed under CC BY-NC 4.0.",
     "cc-by-4": "Licensed under CC BY 4.0.",
     "cc-by-sa-4": "Licensed under CC BY-SA 4.0.",
-    "cc-by-4-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-sa-4-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "cc-by-nc-4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "cc-by-4-work": (
+        "This work is licensed under a Creative "
+        "Commons Attribution 4.0 International License."
+    ),
+    "cc-by-sa-4-work": (
+        "This work is licensed under a Creative "
+        "Commons Attribution-ShareAlike 4.0 International License."
+    ),
+    "cc-by-nc-4-work": (
+        "This work is licensed under a Creative "
+        "Commons Attribution-NonCommercial 4.0 International License."
+    ),
+    "cc0": (
+        "To the extent possible under law, the "
+        "author has waived all copyright and related "
+        "or neighboring rights to this work."
+    ),
 }
 
 
