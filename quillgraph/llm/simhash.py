@@ -24,8 +24,10 @@ closed to groups by connected components; of each group the smallest
 
 Boilerplate says nothing about a text: lines that are frequent on their own
 (in about a hundredth of all texts or more, at least ``LEAST_BOILERPLATE``, but
-not beside the same other line) are left out of its features, unless nothing
-else is left. Misra-Gries summaries of lines and of neighbouring pairs of lines
+not beside the same other line) are left out of its features, unless less than
+a fifth of its words (``LEAST_OWN``) is left then: texts that have over four
+fifths in common are near copies, however many there are and wherever their
+edits lie. Misra-Gries summaries of lines and of neighbouring pairs of lines
 find them; copies of a text, however many, have their pairs in common and so
 keep their lines.
 
@@ -68,6 +70,8 @@ MAX_DISTANCE = 128
 #: Counters for lines and pairs of lines: a text has some ten lines, so 2,048 tell what is in a hundredth of the texts.
 LINE_COUNTERS = 2048
 LEAST_BOILERPLATE = 100
+#: One in so many words of a text must be left when its boilerplate is dropped.
+LEAST_OWN = 5
 #: Word hashes that a worker remembers; a matter of speed alone.
 REMEMBERED = 1 << 19
 
@@ -121,11 +125,13 @@ def boilerplate(docs: DataFrame, k: int = LINE_COUNTERS, least: int = LEAST_BOIL
 
 
 def features(text: str, seen: dict[str, int], dropped: frozenset[bytes] = frozenset()) -> np.ndarray:
-    """Sorted distinct hashes of the pairs of neighbouring words, without ``dropped`` lines if anything is left then."""
-    words: list[str] = []
+    """Sorted distinct hashes of the pairs of neighbouring words, without ``dropped`` lines if enough is left then."""
+    words = _WORD.findall(text.lower())
     if dropped:
-        words = _WORD.findall("\n".join([x for x in text.split("\n") if line_hash(x) not in dropped]).lower())
-    words = words or _WORD.findall(text.lower())
+        lines = text.split("\n")
+        own = [x for x in lines if line_hash(x) not in dropped]
+        if len(own) < len(lines) and len(left := _WORD.findall("\n".join(own).lower())) * LEAST_OWN >= len(words):
+            words = left
     hashes = []
     for w in words:
         h = seen.get(w)

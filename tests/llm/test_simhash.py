@@ -91,3 +91,12 @@ def test_components(spark):
 
 def test_awkward_fixture_is_awkward():
     assert any(r[1] is None for r in awkward()) and any(r[0] is None for r in awkward())
+
+
+def test_large_group_of_copies_with_one_shared_line(spark):
+    body = prose(3000, 60)
+    group = [row(10000 + i, f"{prose(5000 + i, 3)} {i}\n{body}") for i in range(3000)]
+    others = [row(i, f"{prose(20000 + i, 12)}\n{prose(30000 + i, 40)}") for i in range(300)]
+    df = docs(spark, group + others)
+    kept = [r.doc_id for r in near_dedup(df).collect()]
+    assert [x for x in kept if x >= 10000] == [10000] and sorted(x for x in kept if x < 10000) == list(range(300))
