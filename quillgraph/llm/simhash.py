@@ -23,13 +23,14 @@ closed to groups by connected components; of each group the smallest
 ``doc_id`` stays.
 
 Boilerplate says nothing about a text: lines that are frequent on their own
-(in about a hundredth of all texts or more, at least ``LEAST_BOILERPLATE``, but
+(in two texts and in over a hundredth of all, ``FREQUENT``, at every size, but
 not beside the same other line) are left out of its features, unless less than
 a fifth of its words (``LEAST_OWN``) is left then: texts that have over four
 fifths in common are near copies, however many there are and wherever their
-edits lie. Misra-Gries summaries of lines and of neighbouring pairs of lines
-find them; copies of a text, however many, have their pairs in common and so
-keep their lines.
+edits lie. Counters that forget what is rare name the candidates among lines
+and neighbouring pairs of lines, and a second pass counts those exactly, so that
+partitions have no say in it. Copies of a text, however many, have their pairs
+in common and so keep their lines.
 
 No cap on partners. Equal signatures (copies) are folded into one
 representative before the index. Near copies are joined to the first of their
@@ -56,7 +57,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import col, columns, connected_components, documents, fresh
-from quillgraph.llm.exact_dedup import frequent, shrink
 from quillgraph.session import materialise
 
 SEGMENTS = 8
@@ -67,9 +67,10 @@ POWER = 2.5
 DECIDING = 32
 WORDS_64 = 8
 MAX_DISTANCE = 128
-#: Counters for lines and pairs of lines: a text has some ten lines, so 2,048 tell what is in a hundredth of the texts.
-LINE_COUNTERS = 2048
-LEAST_BOILERPLATE = 100
+#: Lines, and neighbouring pairs of lines, in more than one in so many texts are frequent.
+FREQUENT = 100
+#: Counters forget one count for each so many texts: what is frequent keeps over half of its counts.
+FORGET = 2 * FREQUENT
 #: One in so many words of a text must be left when its boilerplate is dropped.
 LEAST_OWN = 5
 #: Word hashes that a worker remembers; a matter of speed alone.
@@ -97,29 +98,54 @@ def line_hash(line: str) -> bytes:
     return xxhash.xxh3_64_digest(line.strip())
 
 
-def _line_counts(k: int):
-    """Misra-Gries summaries of the lines of texts (8 bytes) and of their neighbouring pairs (16 bytes)."""
+def line_items(text: str) -> set[bytes]:
+    """The lines of a text (8 bytes each) and its neighbouring pairs of lines (16 bytes)."""
+    lines = [line_hash(x) for x in text.split("\n") if x.strip()]
+    return {*lines, *[a + b for a, b in zip(lines, lines[1:], strict=False)]}
 
+
+def _counted(counts: dict[bytes, int], n: int) -> pa.RecordBatch:
+    """The null item carries the number of texts."""
+    return pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.binary()), pa.array([n, *counts.values()], pa.int64())], ["item", "n"])
+
+
+def _line_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of items, short by a ``FORGET``-th of the texts at most."""
+    counts: Counter[bytes] = Counter()
+    n = forgotten = 0
+    for batch in batches:
+        for text in batch.column(0):
+            counts.update(line_items(text.as_py()))
+            n += 1
+            if n % (5 * FORGET) == 0:
+                cut, forgotten = n // FORGET - forgotten, n // FORGET
+                counts = Counter({x: c - cut for x, c in counts.items() if c > cut})
+    cut = n // FORGET - forgotten
+    yield _counted({x: c - cut for x, c in counts.items() if c > cut}, n)
+
+
+def _line_counts(candidates: frozenset[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
-        n = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                for text in batch.column(0).slice(at, 1000):
-                    lines = [line_hash(x) for x in text.as_py().split("\n") if x.strip()]
-                    items = {*lines, *[a + b for a, b in zip(lines, lines[1:], strict=False)]}
-                    n += len(items)
-                    counts.update(items)
-                counts = Counter(shrink(counts, k))
-        yield pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.binary()), pa.array([n, *counts.values()], pa.int64())], ["digest", "n"])
+            for text in batch.column(0):
+                counts.update(line_items(text.as_py()) & candidates)
+        yield _counted(counts, 0)
 
     return run
 
 
-def boilerplate(docs: DataFrame, k: int = LINE_COUNTERS, least: int = LEAST_BOILERPLATE) -> frozenset[bytes]:
-    """Hashes of the lines that are frequent, but in no frequent pair; ``k + 1`` at most."""
+def boilerplate(docs: DataFrame) -> frozenset[bytes]:
+    """Hashes of the lines that are frequent, but in no frequent pair; fewer than ``FREQUENT`` times the mean number of lines of a text."""
     texts = docs.where(col("text").isNotNull()).select(col("text").alias("text"))
-    found = frequent(texts.mapInArrow(_line_counts(k), "digest binary, n long"), k, least)
+    # Written, so that the texts are read once for the candidates.
+    total = materialise(texts.mapInArrow(_line_candidates, "item binary, n long").groupBy("item").agg(F.sum("n").alias("n")), "lines")
+    n = total.where(F.col("item").isNull()).agg(F.sum("n")).first()[0] or 0
+    named = [bytes(r["item"]) for r in total.where(F.col("item").isNotNull() & (F.col("n") >= F.lit(n / FREQUENT - n / FORGET))).collect()]
+    if not named:
+        return frozenset()
+    counts = texts.mapInArrow(_line_counts(frozenset(named)), "item binary, n long").where(F.col("item").isNotNull()).groupBy("item").agg(F.sum("n").alias("n"))
+    found = [bytes(r["item"]) for r in counts.where((F.col("n") > F.lit(n / FREQUENT)) & (F.col("n") > 1)).collect()]
     paired = {h for x in found if len(x) == 16 for h in (x[:8], x[8:])}
     return frozenset(x for x in found if len(x) == 8 and x not in paired)
 

@@ -100,3 +100,15 @@ def test_large_group_of_copies_with_one_shared_line(spark):
     df = docs(spark, group + others)
     kept = [r.doc_id for r in near_dedup(df).collect()]
     assert [x for x in kept if x >= 10000] == [10000] and sorted(x for x in kept if x < 10000) == list(range(300))
+
+
+def test_boilerplate_at_every_size_and_partitioning(spark):
+    header = prose(900, 30)
+    rows = [row(i, f"{header}\n{prose(1000 + i, 9)}") for i in range(40)]
+    for n in (1, 7):
+        df = docs(spark, rows).repartition(n)
+        assert boilerplate(df) == {line_hash(header)} and near_dedup(df).count() == 40
+    # Lines on both sides of the bound, counted exactly: 25 and 26 in 2,500 texts.
+    mixed = [row(i, f"{prose(40000 + i, 9)} {i}" + ("\nseldom seen" if i % 100 == 0 else "\noften seen" if i % 100 == 1 or i == 2 else "")) for i in range(2500)]
+    for n in (1, 7):
+        assert boilerplate(docs(spark, mixed).repartition(n)) == {line_hash("often seen")}
