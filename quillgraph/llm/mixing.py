@@ -9,7 +9,9 @@ position ``t`` at which ``D_s(t) = c``, the root of a quadratic on its segment
 of the schedule. Documents beyond ``D_s(1)`` are left out, and the rest is
 range-sorted by position.
 
-T is the largest budget for which no source runs dry. Token counts are
+T is the largest budget for which no source runs dry, so the scarcest source
+bounds all others; with ``keep_all`` it is the smallest that has room for every
+source, and scarce sources run dry on the way, each where its documents end. Token counts are
 ``ceil(bytes / 4)``, integers, so that prefix sums do not depend on their order
 of summation. They are taken in two levels: totals of 4,096 hash ranges per source,
 then within a range, so that no task holds a whole source, however hot.
@@ -65,7 +67,7 @@ def fixed_schedule(spark: SparkSession, knots: list[tuple[str | None, float, flo
     return spark.createDataFrame(rows, "key string, t double, weight double")
 
 
-def demand_segments(schedule: DataFrame, supply: DataFrame) -> DataFrame:
+def demand_segments(schedule: DataFrame, supply: DataFrame, keep_all: bool = False) -> DataFrame:
     """The scaled schedule by segment: ``key, t0, h, a, b, c0, c1`` with cumulative demand c in tokens.
 
     A few rows per source; sums over sources are rounded so that they don't depend on order.
@@ -78,11 +80,11 @@ def demand_segments(schedule: DataFrame, supply: DataFrame) -> DataFrame:
     s = s.withColumn("d1", F.sum("area").over(Window.partitionBy("key").orderBy("t0").rowsBetween(Window.unboundedPreceding, 0)))
     whole = s.groupBy("key").agg(F.sum("area").alias("whole")).where(F.col("whole") > 0)
     # A source that the schedule names and the corpus lacks bounds nothing.
-    budget = whole.join(supply, "key").agg(F.min(F.col("tokens") / F.col("whole")).alias("budget"))
+    budget = whole.join(supply, "key").agg((F.max if keep_all else F.min)(F.col("tokens") / F.col("whole")).alias("budget"))
     return s.crossJoin(budget).select("key", "t0", "h", "a", "b", ((F.col("d1") - F.col("area")) * F.col("budget")).alias("c0"), (F.col("d1") * F.col("budget")).alias("c1"), "budget")
 
 
-def mix(docs: DataFrame, schedule: DataFrame | None = None, temperatures=TEMPERATURES, seed: str = SEED, position: str | None = None, tokens: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, schedule: DataFrame | None = None, temperatures=TEMPERATURES, seed: str = SEED, position: str | None = None, tokens: str | None = None, keep_all: bool = False) -> DataFrame:
     """The documents in training order; ``position`` and ``tokens`` name columns for these."""
     key_, tok_, hash_, range_, tie_, run_, before_, segs_, upto_, pos_ = fresh(docs, "key", "tok", "hash", "range", "tie", "run", "before", "segs", "upto", "pos")
     hashable = [col(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
@@ -96,7 +98,7 @@ def mix(docs: DataFrame, schedule: DataFrame | None = None, temperatures=TEMPERA
 
     totals = df.select(col(key_).alias("key"), col(range_).alias("range"), col(tok_).alias("tok")).groupBy("key", "range").agg(F.sum("tok").alias("tok"))
     supply = totals.groupBy("key").agg(F.sum("tok").alias("tokens"))
-    segments = demand_segments(schedule if schedule is not None else temperature_schedule(supply, temperatures), supply)
+    segments = demand_segments(schedule if schedule is not None else temperature_schedule(supply, temperatures), supply, keep_all)
     per_source = segments.where(F.col("c1") > F.col("c0")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("c0", "c1", "t0", "h", "a", "b", "budget"))).alias("segs"))
     # Where a range begins and what its source is due: a row for each range of each source,
     # so that the documents themselves are joined once, by range, and never by source.

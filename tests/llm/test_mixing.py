@@ -76,3 +76,11 @@ def test_awkward_empty_and_clashing(spark):
     assert [r.doc_id for r in mix(docs(spark, same)).collect()] == [1, 1, 1]
     df = clashing(spark)
     assert mix(df).columns == df.columns and mix(df).count() == len(out)
+
+
+def test_a_stray_row_takes_nothing_from_the_pipeline(spark):
+    import corpus_pipeline
+
+    rows = [row(i, prose(i, 200), source=f"s{i % 20}") for i in range(400)] + [row(1000, prose(7, 4), source=None)]
+    got = dict(corpus_pipeline.STAGES)["mixing sources to target weights"](spark, docs(spark, rows), "").collect()
+    assert sorted(r.doc_id for r in got) == [*range(400), 1000]
