@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.functions.text import token_sort, words
+from quillgraph.operators.components import connected_components
 
 FUZZY_THRESHOLD = 85.0
 
@@ -51,6 +52,13 @@ def candidate_names(entities: DataFrame) -> DataFrame:
     return entities.select(F.col("id").alias("entity_id"), "name", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("candidate"))
 
 
+def bigram_block(df: DataFrame, name: str, out: str) -> DataFrame:
+    """``df`` with the sorted words of ``name`` as ``out``, a row for each ``gram``."""
+    s = token_sort(F.lower(F.col(name)))
+    grams = F.when(F.length(s) < 3, F.array(F.lit(""))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substr(s, i, F.lit(2)))))
+    return df.select("*", s.alias(out), F.explode(F.concat(grams, F.when(F.length(s) < 5, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))).alias("gram"))
+
+
 def fuzzy_pairs(mentions: DataFrame, entities: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """``mention, entity_id, score`` of candidates at or over the threshold.
 
@@ -59,13 +67,8 @@ def fuzzy_pairs(mentions: DataFrame, entities: DataFrame, threshold: float = FUZ
     (for t over 67, unless both are shorter than three characters, which are
     their own block). Lengths bound the similarity before Python sees a pair.
     """
-    def block(df: DataFrame, name: str, out: str) -> DataFrame:
-        s = token_sort(F.lower(F.col(name)))
-        grams = F.when(F.length(s) < 3, F.array(F.lit(""))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substr(s, i, F.lit(2)))))
-        return df.select("*", s.alias(out), F.explode(F.concat(grams, F.when(F.length(s) < 5, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))).alias("gram"))
-
-    m = block(mentions.select("mention").distinct(), "mention", "sorted_m")
-    e = block(candidate_names(entities), "candidate", "sorted_e")
+    m = bigram_block(mentions.select("mention").distinct(), "mention", "sorted_m")
+    e = bigram_block(candidate_names(entities), "candidate", "sorted_e")
     la, lb = F.length("sorted_m"), F.length("sorted_e")
     pairs = m.join(e, "gram").where(F.least(la, lb) * 200.0 >= threshold * (la + lb)).select("mention", "entity_id", "sorted_m", "sorted_e").distinct()
     scored = pairs.withColumn("score", indel_similarity("sorted_m", "sorted_e")).where(F.col("score") >= threshold)
@@ -90,15 +93,33 @@ def resolve(mentions: DataFrame, entities: DataFrame, threshold: float = FUZZY_T
     return m.join(best, "mention", "left").select("mention", F.coalesce("entity_id", entity_id(F.col("mention"))).alias("entity_id"), how.alias("how"))
 
 
+def name_groups(names: DataFrame, threshold: float) -> DataFrame:
+    """``node, root`` by hash of sorted words: names that matches at or over the threshold connect, however far."""
+    # A distinct name has one form; the slack is that of the scan.
+    forms = bigram_block(names.select("mention").distinct(), "mention", "form").select("form", "gram").distinct()
+    a, b = forms.withColumnRenamed("form", "x"), forms.withColumnRenamed("form", "y")
+    near = F.least(F.length("x"), F.length("y")) * 200.0 >= threshold * (F.length("x") + F.length("y"))
+    pairs = a.join(b, "gram").where((F.col("x") < F.col("y")) & near).select("x", "y").distinct()
+    close = pairs.where(indel_similarity("x", "y") > threshold - 1e-9)
+    return connected_components(close.select(F.xxhash64("x").alias("a"), F.xxhash64("y").alias("b")), "names")
+
+
 def resolve_online(mentions: DataFrame, entities: DataFrame, threshold: float = FUZZY_THRESHOLD, block: Column | None = None) -> DataFrame:
-    """Greedy resolution in order of ``seq``: a mention sees what earlier mentions of its block created.
+    """Greedy resolution in order of ``seq``: a mention sees what all earlier mentions created.
 
-    Mentions are blocked by the first letter of their sorted words unless
-    ``block`` says otherwise; a block is one group, so it must fit a worker.
+    Only names that are connected through pairs at or over the threshold can
+    reach each other, so each such group (candidates as in ``fuzzy_pairs``) is
+    scanned on its own with the result of a scan of everything. ``block``
+    restricts the scan to mentions of one block instead; a group or block must
+    fit a worker.
     """
-    key = block if block is not None else F.substring(token_sort(F.lower("mention")), 1, 1)
     known = candidate_names(entities).select(F.lit(-1).cast("long").alias("seq"), F.col("candidate").alias("mention"), "entity_id")
-    rows = mentions.select(F.col("seq").cast("long").alias("seq"), "mention", F.lit(None).cast("string").alias("entity_id")).unionByName(known).withColumn("block", key)
+    rows = mentions.select(F.col("seq").cast("long").alias("seq"), "mention", F.lit(None).cast("string").alias("entity_id")).unionByName(known)
+    if block is not None:
+        rows = rows.withColumn("block", block)
+    else:
+        rows = rows.withColumn("node", F.xxhash64(token_sort(F.lower("mention"))))
+        rows = rows.join(name_groups(rows, threshold), "node", "left").withColumn("block", F.coalesce("root", "node")).drop("node", "root")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import hashlib

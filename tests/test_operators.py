@@ -58,6 +58,26 @@ def test_online_resolution_sees_its_own_creations(spark):
     assert got[1][1] == "new" and got[2] == (got[1][0], "fuzzy") and got[3][1] == "new" and got[4] == (got[1][0], "exact")
 
 
+def test_online_resolution_against_a_scan_of_everything(spark):
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey", "p_name").collect()
+    rows = [(r.p_partkey, r.p_name + ("s" if r.p_partkey % 3 == 0 else "")) for r in parts]
+    rows += [(10**6, "cold plate"), (10**6 + 1, "old plate"), (10**6 + 2, "Plates old")]
+    want, exact, names = {}, {}, []
+    for seq, mention in sorted(rows):
+        form = " ".join(sorted(mention.lower().split()))
+        found, how = exact.get(mention.lower()), "exact"
+        if found is None:
+            score, best = max(((resolve.indel_ratio(form, n), -i) for i, (n, _) in enumerate(names)), default=(0, 0))
+            found, how = (names[-best][1], "fuzzy") if score >= 85 else (f"first {seq}", "new")
+        exact.setdefault(mention.lower(), found)
+        names.append((form, found))
+        want[seq] = (found, how)
+    e = spark.createDataFrame([], "id string, name string, aliases array<string>")
+    out = {r.seq: (r.entity_id, r.how) for r in resolve.resolve_online(spark.createDataFrame(rows, "seq long, mention string"), e).collect()}
+    named = {eid: f"first {seq}" for seq, (eid, how) in out.items() if how == "new"}
+    assert {seq: (named[eid], how) for seq, (eid, how) in out.items()} == want
+
+
 def test_chunker_against_a_loop(spark):
     import math
     import re
