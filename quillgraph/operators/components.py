@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.session import materialise
+from quillgraph.session import discard, materialise
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     small-star steps (Kiveris et al., "Connected Components in MapReduce and
     Beyond", 2014) until nothing moves: O(log^2 n) rounds, each two
     shuffles of the edges. Every round is a written table, so that a lost
-    executor costs one round at most. Null ends and self-loops are ignored.
+    executor costs one round at most; the round before is deleted then. Null
+    ends and self-loops are ignored.
     """
 
     def star(e: DataFrame, small: bool) -> DataFrame:
@@ -34,7 +35,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     e = materialise(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     while True:
-        e = materialise(star(star(e, small=False), small=True), name)
+        e, old = materialise(star(star(e, small=False), small=True), name), e
+        discard(old)
         # The sum of hashes pins the edge set; two equal rounds mean a fixed point.
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:

@@ -51,8 +51,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     Unlike an executor-local checkpoint the written table survives the loss of
     any executor, and unlike ``checkpoint()`` the plan is computed once.
+    ``discard`` removes the table when nothing reads it any more.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._scratch = path
+    return written
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Hadoop knows."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``materialise``; frames that still read them fail from then on."""
+    for df in written:
+        remove_path(df.sparkSession, df._scratch)
