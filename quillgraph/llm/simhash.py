@@ -1,53 +1,55 @@
 """SimHash near-dedup by multi-index hashing.
 
 A text is lower-cased and cut into words; its features are the hashes of its
-distinct word pairs (of its only word, if it has one). Two fingerprints are
-drawn from them:
-
-* a *signature* of 512 bits, a plain SimHash in which all features weigh the
-  same, for the complete distance: unrelated texts differ in 256 bits, texts
-  with a tenth of their words changed in about 90;
-* ``SEGMENTS`` index segments of 32 bits. A plain SimHash segment of this width
+distinct words and of its distinct pairs of neighbouring words (of its only
+word, if it has one). Its fingerprint follows from the text alone, so what
+becomes of two texts never depends on the rest of the table. It has two parts:
+
+* a *signature* of 512 bits for the complete distance: a plain SimHash of the
+  pairs and one of the words, 256 bits each, in which all features weigh the
+  same. Unrelated texts differ in about 256 bits. Edits spread over a text
+  change twice as many pairs as words, a passage in common covers both alike,
+  so that words and pairs together tell a near copy (a tenth of the words
+  changed: about 75) from two texts around the same boilerplate (half of either:
+  about 137);
+* ``SEGMENTS`` index segments of 33 bits. A plain SimHash segment of this width
   flips 5 bits at such edits, and the Hamming ball that would find it has
-  242,825 members. So a segment is a SimHash under random weights
-  ``u ** -POWER``: few features decide it, and when an edit spares those it
-  flips one bit at most. Its two halves are drawn under weights of their own,
-  because texts that share no more than a common phrase or a boilerplate line
-  may well have one half decided by it, but hardly ever both: bucket sizes
-  follow the square of that chance.
-
-Around each segment the Hamming ball of radius 1 is enumerated (33 values), the
-table of segments is joined on (segment, value), and each pair so found is
-verified by its complete distance, ``MAX_DISTANCE`` at most. Verified pairs are
-closed to groups by connected components; of each group the smallest
-``doc_id`` stays.
-
-Boilerplate says nothing about a text: lines that are frequent on their own
-(in two texts and in over a hundredth of all, ``FREQUENT``, at every size, but
-not beside the same other line) are left out of its features, unless less than
-a fifth of its words (``LEAST_OWN``) is left then: texts that have over four
-fifths in common are near copies, however many there are and wherever their
-edits lie. Counters that forget what is rare name the candidates among lines
-and neighbouring pairs of lines, and a second pass counts those exactly, so that
-partitions have no say in it. Copies of a text, however many, have their pairs
-in common and so keep their lines.
-
-No cap on partners. Equal signatures (copies) are folded into one
+  285,340 members. So a segment is drawn from samples: each of its three parts
+  is the SimHash of the ``SAMPLE`` pairs that rank lowest under a seed of
+  its own, with the weights ``u ** -POWER`` of their ranks' values ``u``. When
+  an edit spares the first of a sample it flips one bit at most. Three parts,
+  because texts that share no more than a passage have one part decided by it
+  now and then, but hardly ever all three: where a share s of the pairs is
+  common, the chance goes with the cube of s.
+
+Around each segment the Hamming ball of radius 1 is enumerated, the table of
+segments is joined on (segment, value), and each pair so found is verified by
+its complete distance, ``MAX_DISTANCE`` at most. Of two values that differ in a
+bit, the one that has it set asks for the other, so that a ball costs 17
+lookups on average instead of 34. Verified pairs are closed to groups by
+connected components; of each group the smallest ``doc_id`` stays.
+
+The segments are not slices of the signature, so the guarantee of slices (one of
+m is within d / m) does not hold; README gives the share of pairs found at
+each distance.
+
+No cap on partners. Equal fingerprints (copies) are folded into one
 representative before the index. Near copies are joined to the first of their
 bucket if they are within the distance of it, and only pairs that this leaves
 in different groups are taken from the index: a group of k texts costs about k
 comparisons, not k squared, and comes out the same.
 
 Cases: texts without a word (null, empty, blank, only marks) have no
-fingerprint and stay. Rows without a ``doc_id`` stay. Rows that share a
-``doc_id`` go or stay together, and of rows with equal ``doc_id`` and text one
-stays. An empty table gives an empty table; extra columns are carried along.
+fingerprint and stay. Very long texts are read whole. Rows without a ``doc_id``
+stay. Rows that share a ``doc_id`` go or stay together, and of rows with equal
+``doc_id`` and text one stays. ``doc_id`` is an integer (a string that is none
+is an error). An empty table gives an empty table; extra columns are carried
+along.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,22 +59,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import col, columns, connected_components, documents, fresh
-from quillgraph.session import materialise
+from quillgraph.session import discard, materialise
 
-SEGMENTS = 8
-HALF_BITS = 16
-SEGMENT_BITS = 2 * HALF_BITS
+SEGMENTS = 16
+PARTS = 3
+PART_BITS = 11
+SEGMENT_BITS = PARTS * PART_BITS
 POWER = 2.5
-#: Features that can decide a segment; under this POWER the rest weighs below a thousandth.
-DECIDING = 32
+#: Pairs in the sample that a part of a segment is drawn from.
+SAMPLE = 8
 WORDS_64 = 8
-MAX_DISTANCE = 128
-#: Lines, and neighbouring pairs of lines, in more than one in so many texts are frequent.
-FREQUENT = 100
-#: Counters forget one count for each so many texts: what is frequent keeps over half of its counts.
-FORGET = 2 * FREQUENT
-#: One in so many words of a text must be left when its boilerplate is dropped.
-LEAST_OWN = 5
+MAX_DISTANCE = 100
 #: Word hashes that a worker remembers; a matter of speed alone.
 REMEMBERED = 1 << 19
 
@@ -80,8 +77,7 @@ SIGNATURE = [f"s{i}" for i in range(WORDS_64)]
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
-_SEEDS = (np.arange(1, 2 * SEGMENTS + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))[:, None]
-_BITS = np.arange(HALF_BITS, dtype=np.uint64)
+_BITS = np.arange(PART_BITS, dtype=np.uint64)
 _SIGN_SEEDS = (np.arange(11, 11 + WORDS_64, dtype=np.uint64) * _U(0xA0761D6478BD642F))[:, None]
 
 
@@ -94,143 +90,89 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def line_hash(line: str) -> bytes:
-    return xxhash.xxh3_64_digest(line.strip())
+_SEEDS = mix(np.arange(1, PARTS * SEGMENTS + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))[:, None]
 
 
-def line_items(text: str) -> set[bytes]:
-    """The lines of a text (8 bytes each) and its neighbouring pairs of lines (16 bytes)."""
-    lines = [line_hash(x) for x in text.split("\n") if x.strip()]
-    return {*lines, *[a + b for a, b in zip(lines, lines[1:], strict=False)]}
+class WordHashes(dict):
+    """Hashes of words, remembered."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
 
-def _counted(counts: dict[bytes, int], n: int) -> pa.RecordBatch:
-    """The null item carries the number of texts."""
-    return pa.RecordBatch.from_arrays([pa.array([None, *counts], pa.binary()), pa.array([n, *counts.values()], pa.int64())], ["item", "n"])
 
+def features(text: str, seen: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the pairs of neighbouring words, and of the words."""
+    found = _WORD.findall(text.lower())
+    words = np.fromiter(map(seen.__getitem__, found), dtype=np.uint64, count=len(found))
+    pairs = words[:-1] * _U(0x9E3779B97F4A7C15) + words[1:] if len(words) > 1 else words
+    return np.unique(pairs), np.unique(words)
 
-def _line_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of items, short by a ``FORGET``-th of the texts at most."""
-    counts: Counter[bytes] = Counter()
-    n = forgotten = 0
-    for batch in batches:
-        for text in batch.column(0):
-            counts.update(line_items(text.as_py()))
-            n += 1
-            if n % (5 * FORGET) == 0:
-                cut, forgotten = n // FORGET - forgotten, n // FORGET
-                counts = Counter({x: c - cut for x, c in counts.items() if c > cut})
-    cut = n // FORGET - forgotten
-    yield _counted({x: c - cut for x, c in counts.items() if c > cut}, n)
-
-
-def _line_counts(candidates: frozenset[bytes]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(line_items(text.as_py()) & candidates)
-        yield _counted(counts, 0)
-
-    return run
-
-
-def boilerplate(docs: DataFrame) -> frozenset[bytes]:
-    """Hashes of the lines that are frequent, but in no frequent pair; fewer than ``FREQUENT`` times the mean number of lines of a text."""
-    texts = docs.where(col("text").isNotNull()).select(col("text").alias("text"))
-    # Written, so that the texts are read once for the candidates.
-    total = materialise(texts.mapInArrow(_line_candidates, "item binary, n long").groupBy("item").agg(F.sum("n").alias("n")), "lines")
-    n = total.where(F.col("item").isNull()).agg(F.sum("n")).first()[0] or 0
-    named = [bytes(r["item"]) for r in total.where(F.col("item").isNotNull() & (F.col("n") >= F.lit(n / FREQUENT - n / FORGET))).collect()]
-    if not named:
-        return frozenset()
-    counts = texts.mapInArrow(_line_counts(frozenset(named)), "item binary, n long").where(F.col("item").isNotNull()).groupBy("item").agg(F.sum("n").alias("n"))
-    found = [bytes(r["item"]) for r in counts.where((F.col("n") > F.lit(n / FREQUENT)) & (F.col("n") > 1)).collect()]
-    paired = {h for x in found if len(x) == 16 for h in (x[:8], x[8:])}
-    return frozenset(x for x in found if len(x) == 8 and x not in paired)
-
-
-def features(text: str, seen: dict[str, int], dropped: frozenset[bytes] = frozenset()) -> np.ndarray:
-    """Sorted distinct hashes of the pairs of neighbouring words, without ``dropped`` lines if enough is left then."""
-    words = _WORD.findall(text.lower())
-    if dropped:
-        lines = text.split("\n")
-        own = [x for x in lines if line_hash(x) not in dropped]
-        if len(own) < len(lines) and len(left := _WORD.findall("\n".join(own).lower())) * LEAST_OWN >= len(words):
-            words = left
-    hashes = []
-    for w in words:
-        h = seen.get(w)
-        if h is None:
-            if len(seen) >= REMEMBERED:
-                seen.clear()
-            h = seen[w] = xxhash.xxh3_64_intdigest(w)
-        hashes.append(h)
-    a = np.array(hashes, dtype=np.uint64)
-    if len(a) > 1:
-        a = a[:-1] * _U(0x9E3779B97F4A7C15) + a[1:]
-    return np.unique(a)
-
-
-def fingerprint(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The index segments (SEGMENTS values of 32 bits) and the signature (4 words of 64 bits) of features."""
-    z = mix(f[None, :] + _SEEDS)
-    k = min(DECIDING, z.shape[1])
-    if k < z.shape[1]:
-        z = np.take_along_axis(z, np.argpartition(z, k - 1, axis=1)[:, :k], 1)
+
+def segments_of(f: np.ndarray) -> np.ndarray:
+    """The index segments of the pairs of a text."""
+    z = (f[None, :] ^ _SEEDS) * _U(0x9E3779B97F4A7C15)
+    z ^= z >> _U(32)
+    z *= _U(0xD6E8FEB86659FD93)
+    if SAMPLE < z.shape[1]:
+        z.partition(SAMPLE - 1, axis=1)
+        z = z[:, :SAMPLE]
     # Summed in a fixed order, so that equal features give equal bits.
     z.sort(axis=1)
     weights = ((z.astype(np.float64) + 1) / 2.0**64) ** -POWER
-    bits = mix(z * _U(0x2545F4914F6CDD1D) + _U(12345))
-    signs = ((bits[:, :, None] >> _BITS) & _U(1)).astype(np.float64) * 2 - 1
+    signs = ((mix(z)[:, :, None] >> _BITS) & _U(1)).astype(np.float64) * 2 - 1
     on = (signs * weights[:, :, None]).sum(1) > 0
-    halves = (on.astype(np.int64) << np.arange(HALF_BITS)).sum(1)
-    segments = halves[0::2] | halves[1::2] << HALF_BITS
-
-    ones = np.zeros(64 * WORDS_64, dtype=np.int64)
-    for at in range(0, len(f), 8192):
-        s = mix(f[None, at : at + 8192] + _SIGN_SEEDS)
-        unpacked = np.unpackbits(s.T.copy().view(np.uint8), axis=1)
-        ones += unpacked.sum(0, dtype=np.int32)
-    signature = np.packbits(ones * 2 > len(f)).view(np.int64)
-    return segments, signature
+    parts = (on.astype(np.int64) << np.arange(PART_BITS)).sum(1).reshape(SEGMENTS, PARTS)
+    return (parts << (PART_BITS * np.arange(PARTS))).sum(1)
 
 
-def _fingerprints(dropped: frozenset[bytes]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
-        for batch in batches:
-            ids, segments, signatures = [], [], []
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                f = features(text.as_py(), seen, dropped)
-                if len(f):
-                    s, g = fingerprint(f)
-                    ids.append(doc_id.as_py())
-                    segments.append(s)
-                    signatures.append(g)
-            if ids:
-                s = pa.array(np.concatenate(segments), pa.int64())
-                g = np.stack(signatures)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(np.arange(0, len(s) + 1, SEGMENTS, dtype=np.int32), s), *[pa.array(np.ascontiguousarray(g[:, i])) for i in range(WORDS_64)]],
-                    ["doc_id", "segments", *SIGNATURE],
-                )
+def simhash(f: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """A plain SimHash of 64 bits for each seed, in bytes."""
+    ones = np.zeros(64 * len(seeds), dtype=np.int64)
+    for at in range(0, len(f), 8192):
+        s = mix(f[None, at : at + 8192] + seeds)
+        ones += np.unpackbits(s.T.copy().view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(f))
 
-    return run
 
+def fingerprint(text: str, seen: WordHashes) -> tuple[np.ndarray, np.ndarray] | None:
+    """The index segments and the signature (8 words of 64 bits) of a text; none if it has no word."""
+    pairs, words = features(text, seen)
+    if not len(words):
+        return None
+    half = WORDS_64 // 2
+    return segments_of(pairs), np.concatenate([simhash(pairs, _SIGN_SEEDS[:half]), simhash(words, _SIGN_SEEDS[half:])]).view(np.int64)
 
 
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = WordHashes()
+    for batch in batches:
+        ids, segments, signatures = [], [], []
+        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            if (f := fingerprint(text.as_py(), seen)) is not None:
+                ids.append(doc_id.as_py())
+                segments.append(f[0])
+                signatures.append(f[1])
+        if ids:
+            s = pa.array(np.concatenate(segments), pa.int64())
+            g = np.stack(signatures)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(np.arange(0, len(s) + 1, SEGMENTS, dtype=np.int32), s), *[pa.array(np.ascontiguousarray(g[:, i])) for i in range(WORDS_64)]],
+                ["doc_id", "segments", *SIGNATURE],
+            )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, segments, s0..s7`` of every row with a ``doc_id`` and a word."""
     schema = "doc_id long, segments array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
     rows = docs.where(col("doc_id").isNotNull() & col("text").isNotNull()).select(col("doc_id").cast("long").alias("doc_id"), col("text").alias("text"))
-    return rows.mapInArrow(_fingerprints(boilerplate(rows)), schema)
+    return rows.mapInArrow(_fingerprints, schema)
 
 
 def segment_keys(folded: DataFrame) -> DataFrame:
-    """``id, key`` and what else ``folded`` has but signatures; a segment's number sits above its 32 bits."""
+    """``id, key`` and what else ``folded`` has but signatures; a segment's number sits above its bits."""
     rest = [c for c in folded.columns if c not in ("id", "segments", *SIGNATURE)]
     seg = folded.select("id", *rest, F.posexplode("segments").alias("seg", "value"))
     return seg.select("id", *rest, (F.shiftleft(F.col("seg").cast("long"), SEGMENT_BITS) + F.col("value")).alias("key"))
@@ -256,43 +198,63 @@ def near_pairs(folded: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame
     if rooted:
         table = table.withColumnRenamed("step", "b_step")
     ball = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(SEGMENT_BITS)])
-    probes = segment.select(F.col("id").alias("a"), *(["step"] if rooted else []), "key", F.explode(ball).alias("flip")).withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
+    probes = segment.select(F.col("id").alias("a"), *(["step"] if rooted else []), "key", F.explode(ball).alias("flip")).where(F.col("key").bitwiseAND(F.col("flip")) == F.col("flip"))
+    probes = probes.withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).withColumn("same", F.col("flip") == 0).drop("flip")
     new = (F.col("a") - F.col("step") != F.col("b") - F.col("b_step")) if rooted else F.lit(True)
-    found = probes.join(table.hint("shuffle_hash"), "key").where((F.col("a") < F.col("b")) & new).select("a", "b").distinct()
+    # A merge join: it spills, and adaptive execution splits its hot values.
+    found = probes.join(table.hint("merge"), "key").where((~F.col("same") | (F.col("a") < F.col("b"))) & new)
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return verified(found, folded, max_distance)
 
 
+def near_stars(folded: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """Written pairs ``a, b``: each member of a bucket and the bucket's smallest id, where they are near."""
+    keys = segment_keys(folded)
+    # Aggregated before the shuffle and joined, where a window would hold a hot bucket in one task.
+    first = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = keys.join(first.hint("merge"), "key").where(F.col("a") < F.col("id")).select("a", F.col("id").alias("b")).distinct()
+    return materialise(verified(pairs, folded, max_distance).select("a", "b"), "stars")
+
+
+def with_roots(folded: DataFrame, stars: DataFrame) -> DataFrame:
+    """Written ``folded`` with the ``root`` of each id under ``stars``."""
+    roots = connected_components(stars).where(F.col("node") != F.col("root")).select(F.col("node").alias("id"), "root")
+    return materialise(folded.join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+
+
 def near_edges(folded: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``a, b``: verified pairs that connect whatever ``near_pairs`` connects, but not all pairs of a large group.
 
-    First each member of a bucket is held against the bucket's smallest id.
-    What that joins has one root; the index is then asked only for pairs with
-    different roots, all of them. A pair left out has one root already.
+    What the stars join has one root; the index is then asked only for pairs
+    with different roots, all of them. A pair left out has one root already.
     """
-    keys = segment_keys(folded)
-    first = keys.withColumn("a", F.min("id").over(Window.partitionBy("key"))).where(F.col("a") < F.col("id"))
-    stars = materialise(verified(first.select("a", F.col("id").alias("b")).distinct(), folded, max_distance).select("a", "b"), "stars")
-    roots = connected_components(stars).where(F.col("node") != F.col("root")).select(F.col("node").alias("id"), "root")
-    labelled = materialise(folded.join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-    return stars.union(near_pairs(labelled, max_distance).select("a", "b"))
+    stars = near_stars(folded, max_distance)
+    return stars.union(near_pairs(with_roots(folded, stars), max_distance).select("a", "b"))
 
 
 def near_groups(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``doc_id, root`` of every document in a group of two or more; ``root`` is the group's smallest ``doc_id``."""
     prints = materialise(fingerprints(docs), "simhash")
-    folded = materialise(prints.groupBy(*SIGNATURE, "segments").agg(F.min("doc_id").alias("id")), "folded")
-    copies = prints.withColumn("id", F.min("doc_id").over(Window.partitionBy(*SIGNATURE, "segments"))).where(F.col("id") != F.col("doc_id"))
-    edges = near_edges(folded, max_distance).union(copies.select("id", "doc_id"))
-    return connected_components(edges).select(F.col("node").alias("doc_id"), "root")
+    counted = materialise(prints.groupBy(*SIGNATURE, "segments").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "folded")
+    several = counted.where("n > 1").drop("n")
+    copies = prints.join(several.hint("merge"), [*SIGNATURE, "segments"]).where(F.col("id") != F.col("doc_id"))
+    folded = counted.drop("n")
+    stars = near_stars(folded, max_distance)
+    labelled = with_roots(folded, stars)
+    edges = stars.union(near_pairs(labelled, max_distance).select("a", "b")).union(copies.select("id", "doc_id"))
+    groups = connected_components(edges).select(F.col("node").alias("doc_id"), "root")
+    # The groups are written, and nothing reads what they came from.
+    discard(prints, counted, stars, labelled)
+    return groups
 
 
 def near_dedup(docs: DataFrame, max_distance: int = MAX_DISTANCE, group_size: str | None = None) -> DataFrame:
     """One document of each near-duplicate group and all others; ``group_size`` names a column for the documents it stands for."""
     id_, root_, text_, rank_, tie_, size_ = fresh(docs, "id", "root", "texthash", "rank", "tie", "size")
     groups = near_groups(docs, max_distance)
-    if group_size:
-        groups = groups.withColumn("size", F.count("*").over(Window.partitionBy("root")))
-    named = groups.select(F.col("doc_id").alias(id_), F.col("root").alias(root_), (F.col("size") if group_size else F.lit(1).cast("long")).alias(size_))
+    sizes = groups.groupBy(F.col("root").alias("doc_id")).agg(F.count("*").alias("size"))
+    named = groups.join(sizes.hint("merge"), "doc_id", "left") if group_size else groups.withColumn("size", F.lit(1).cast("long"))
+    named = named.select(F.col("doc_id").alias(id_), F.col("root").alias(root_), F.col("size").alias(size_))
     # Hashed before the join, so that texts travel only where they are asked for.
     hashable = [col(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     rows = docs.where(col("doc_id").isNotNull()).withColumn(text_, F.xxhash64(col("text"))).withColumn(tie_, F.xxhash64(*hashable))

@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 from quillgraph.llm.bpe import encoding
 from quillgraph.llm.quality import RULES, STOP_WORDS, SYMBOLS
-from quillgraph.llm.simhash import MAX_DISTANCE, features, fingerprint
+from quillgraph.llm.simhash import MAX_DISTANCE, WordHashes, fingerprint
 from tests.llm.fixtures import docs, prose, row
 from tests.llm.test_mixing import brute as positions_under
 from tests.llm.test_simhash import edited
@@ -41,7 +41,7 @@ def brute(rows):
     for r in sorted(rows, key=lambda r: r[0]):
         first.setdefault(r[1], r)
     rows = sorted(first.values(), key=lambda r: r[0])
-    bits = [np.unpackbits(fingerprint(features(r[1], {}))[1].view(np.uint8)) for r in rows]
+    bits = [np.unpackbits(fingerprint(r[1], WordHashes())[1].view(np.uint8)) for r in rows]
     root = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):

@@ -40,7 +40,8 @@ def test_names():
 
 def test_simhash_query(spark, texts):
     """All pairs by complete distance, closed to groups."""
-    prints = {d: np.unpackbits(simhash.fingerprint(f)[1].view(np.uint8)) for d, t in texts if len(f := simhash.features(t, {}))}
+    seen = simhash.WordHashes()
+    prints = {d: np.unpackbits(f[1].view(np.uint8)) for d, t in texts if (f := simhash.fingerprint(t, seen))}
     ids = sorted(prints)
     bits = np.stack([prints[i] for i in ids]).astype(np.int32)
     far = (bits[:, None, :] != bits[None, :, :]).sum(2)
@@ -50,8 +51,8 @@ def test_simhash_query(spark, texts):
         root = {k: x if v == y else v for k, v in root.items()}
     want = {d for d, _ in texts if root.get(d, d) == d}
     got = {r.doc_id: r.group_size for r in QUERIES["op2_simhash_near_dedup"](spark, FOLDER).collect()}
-    # Approximate: nothing beside the groups is removed, and of what they remove nine tenths are.
-    assert want <= set(got) and len(texts) - len(got) >= 0.9 * (len(texts) - len(want)) > 0
+    # Approximate: nothing beside the groups is removed, and of what they remove nineteen of twenty are.
+    assert want <= set(got) and len(texts) - len(got) >= 0.95 * (len(texts) - len(want)) > 0
     assert sum(got.values()) == len(texts)
 
 
