@@ -1,8 +1,12 @@
 """The registered queries over whole small tables: against SQL where there is any, else against brute force."""
 
+import math
+from collections import Counter
+
 import duckdb
 import numpy as np
 import pytest
+import sentencepiece
 
 import __spark_entry__
 from quillgraph.llm import bpe, lattice_lm, simhash
@@ -57,15 +61,26 @@ def test_simhash_query(spark, texts):
 
 
 def test_lattice_query(spark, texts):
-    df = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    lattice = lattice_lm.Lattice(lattice_lm.piece_scores(df))
+    """Nothing of the operator but its smoothing: the tokenizer's own counts, and a forward pass over whole texts."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=lattice_lm.MODEL)
+    n = sp.get_piece_size()
+    counts = Counter(i for _, t in texts for i in sp.encode(t))
+    byte = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(n) if sp.is_byte(i)}
+    piece = {sp.id_to_piece(i): i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    total = sum(counts.values()) + lattice_lm.ALPHA * (len(byte) + len(piece))
+    log = [math.log((counts[i] + lattice_lm.ALPHA) / total) for i in range(n)]
     got = {r.doc_id: r.log_prob for r in QUERIES["op3_lattice_likelihood"](spark, FOLDER).collect()}
     assert set(got) == {d for d, _ in texts}
-    memory = {}
     for d, t in texts:
-        for u in set(lattice_lm.units(t)) - set(memory):
-            memory[u] = lattice.marginal(u)
-        assert got[d] == pytest.approx(sum(memory[u] for u in lattice_lm.units(t)))
+        s = "\u2581" + t.replace(" ", "\u2581")
+        alpha = [0.0] + [-math.inf] * len(s)
+        for i in range(len(s)):
+            ways = [(i + 1, sum(log[byte[b]] for b in s[i].encode()))] if s[i] not in piece else []
+            ways += [(j, log[piece[s[i:j]]]) for j in range(i + 1, min(len(s), i + 16) + 1) if s[i:j] in piece]
+            for j, x in ways:
+                hi, lo = max(alpha[j], alpha[i] + x), min(alpha[j], alpha[i] + x)
+                alpha[j] = hi + math.log1p(math.exp(lo - hi))
+        assert got[d] == pytest.approx(alpha[-1])
 
 
 def test_bpe_query(spark, texts):
