@@ -47,6 +47,10 @@ def indel_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+# Otherwise a filter on it moves below the distinct pairs, and each pair is compared once for each shared bigram.
+indel_similarity = indel_similarity.asNondeterministic()
+
+
 def candidate_names(entities: DataFrame) -> DataFrame:
     """``entity_id, name, candidate`` with the entity's name and each alias as candidate."""
     return entities.select(F.col("id").alias("entity_id"), "name", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("candidate"))
@@ -66,13 +70,18 @@ def fuzzy_pairs(mentions: DataFrame, entities: DataFrame, threshold: float = FUZ
     t percent two strings share so long a subsequence that they share a bigram
     (for t over 67, unless both are shorter than three characters, which are
     their own block). Lengths bound the similarity before Python sees a pair.
+    Forms (names with sorted words) are compared, each once, however many
+    mentions and entities have it.
     """
-    m = bigram_block(mentions.select("mention").distinct(), "mention", "sorted_m")
-    e = bigram_block(candidate_names(entities), "candidate", "sorted_e")
+    with_form = lambda df, c, out: df.select(c).distinct().withColumn(out, token_sort(F.lower(F.col(c))))
+    grams = lambda df, c: bigram_block(df.select(c).distinct(), c, "form").select(c, "gram")
+    named = candidate_names(entities).select("entity_id", "candidate")
+    m, e = with_form(mentions, "mention", "sorted_m"), with_form(named, "candidate", "sorted_e")
     la, lb = F.length("sorted_m"), F.length("sorted_e")
-    pairs = m.join(e, "gram").where(F.least(la, lb) * 200.0 >= threshold * (la + lb)).select("mention", "entity_id", "sorted_m", "sorted_e").distinct()
-    scored = pairs.withColumn("score", indel_similarity("sorted_m", "sorted_e")).where(F.col("score") >= threshold)
-    return scored.groupBy("mention", "entity_id").agg(F.max("score").alias("score"))
+    pairs = grams(m, "sorted_m").join(grams(e, "sorted_e"), "gram").where(F.least(la, lb) * 200.0 >= threshold * (la + lb)).select("sorted_m", "sorted_e").distinct()
+    close = pairs.withColumn("score", indel_similarity("sorted_m", "sorted_e")).where(F.col("score") >= threshold)
+    scored = m.join(close, "sorted_m").join(e, "sorted_e").select("mention", "candidate", "score")
+    return scored.join(named, "candidate").groupBy("mention", "entity_id").agg(F.max("score").alias("score"))
 
 
 def resolve(mentions: DataFrame, entities: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,6 +44,24 @@ def test_fuzzy_blocking_loses_nothing(spark):
     assert got == want
 
 
+def test_copies_are_compared_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        seen.add(len(a))
+        return pd.Series([resolve.indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    assert not resolve.indel_similarity.deterministic
+    monkeypatch.setattr(resolve, "indel_similarity", counted.asNondeterministic())
+    e = spark.createDataFrame([(f"e{i}", f"{w} bolt", [f"bolt {w}"]) for w, ids in (("large", range(50)), ("hot", range(50, 100))) for i in ids], "id string, name string, aliases array<string>")
+    m = spark.createDataFrame([("LARGE BOLTS",), ("bolts large",)], "mention string")
+    got = [tuple(r) for r in resolve.fuzzy_pairs(m, e).collect()]
+    score = resolve.indel_ratio("bolts large", "bolt large")
+    assert sorted(got) == sorted((x, f"e{i}", score) for x in ("LARGE BOLTS", "bolts large") for i in range(50))
+    assert seen.value == 1
+
+
 def test_resolution_ladder(spark):
     e = spark.createDataFrame([("1", "Ostrava Kilns", ["the kilns"]), ("2", "lumen drift", []), ("3", "Ostrava Kiln", [])], "id string, name string, aliases array<string>")
     m = spark.createDataFrame([(x,) for x in ("Ostrava Kilns", "Lumen Drift", "THE KILNS", "Kilns Ostravas", "Nobody", "  ", "Nobody")], "mention string")
