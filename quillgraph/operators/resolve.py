@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,15 +91,20 @@ def resolve(mentions: DataFrame, entities: DataFrame, threshold: float = FUZZY_T
     entities as they stand, not against each other's creations.
     """
     m = mentions.select(F.when(F.trim("mention") == "", "unknown").otherwise(F.trim("mention")).alias("mention")).where(F.col("mention").isNotNull()).distinct()
-    exact = m.join(entities.select("id", "name"), F.col("name") == F.col("mention")).select("mention", F.col("id").alias("entity_id"), F.lit(1).alias("rank"), F.lit(100.0).alias("score"))
-    lowered = m.join(entities.select("id", "name"), F.col("name") == F.lower("mention")).select("mention", F.col("id").alias("entity_id"), F.lit(2).alias("rank"), F.lit(100.0).alias("score"))
-    alias = m.join(candidate_names(entities), F.lower("candidate") == F.lower("mention")).select("mention", "entity_id", F.lit(3).alias("rank"), F.lit(100.0).alias("score"))
-    sure = exact.union(lowered).union(alias)
-    rest = m.join(sure.select("mention").distinct(), "mention", "left_anti")
-    fuzzy = fuzzy_pairs(rest, entities, threshold).select("mention", "entity_id", F.lit(4).alias("rank"), "score")
-    best = sure.union(fuzzy).withColumn("n", F.row_number().over(Window.partitionBy("mention").orderBy("rank", F.col("score").desc(), "entity_id"))).where("n = 1")
+    # Of entities that share a name only the first can win: one row for each name before anything is joined.
+    as_name = entities.select(F.lit(1).alias("kind"), F.col("name").alias("name"), F.col("id").alias("entity_id"))
+    as_alias = candidate_names(entities).select(F.lit(2).alias("kind"), F.lower("candidate").alias("name"), "entity_id")
+    known = as_name.union(as_alias).where("name IS NOT NULL").groupBy("kind", "name").agg(F.min("entity_id").alias("entity_id"))
+    step = lambda rank, kind, name: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), name.alias("name"))
+    steps = m.select("mention", F.inline(F.array(step(1, 1, F.col("mention")), step(2, 1, F.lower("mention")), step(3, 2, F.lower("mention")))))
+    hit = F.when(F.col("entity_id").isNotNull(), F.struct("rank", "entity_id"))
+    best = steps.join(known, ["kind", "name"], "left").groupBy("mention").agg(F.min(hit).alias("best")).select("mention", "best.rank", "best.entity_id")
+    # No similarity is over 100.
+    if threshold <= 100:
+        near = fuzzy_pairs(best.where("rank IS NULL"), entities, threshold).groupBy("mention").agg(F.min(F.struct(-F.col("score"), "entity_id")).alias("near"))
+        best = best.join(near, "mention", "left").select("mention", F.coalesce("rank", F.when(F.col("near").isNotNull(), 4)).alias("rank"), F.coalesce("entity_id", "near.entity_id").alias("entity_id"))
     how = F.when(F.col("rank") <= 2, "exact").when(F.col("rank") == 3, "alias").when(F.col("rank") == 4, "fuzzy").otherwise("new")
-    return m.join(best, "mention", "left").select("mention", F.coalesce("entity_id", entity_id(F.col("mention"))).alias("entity_id"), how.alias("how"))
+    return best.select("mention", F.coalesce("entity_id", entity_id(F.col("mention"))).alias("entity_id"), how.alias("how"))
 
 
 def name_groups(names: DataFrame, threshold: float) -> DataFrame:
