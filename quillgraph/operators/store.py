@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgraph.session import spread
+
 DOCUMENTS = "id string, path string, doc_type string, ingested_at timestamp, char_count long, metadata map<string,string>"
 ENTITIES = "id string, name string, entity_type string, aliases array<string>, description string, created_at timestamp"
 FACTS = "id string, subject_id string, predicate string, object_id string, object_value string, context string, source_doc string, source_page int, confidence double, ingested_at timestamp, valid_from timestamp, valid_until timestamp, is_active boolean"
@@ -81,11 +83,18 @@ def stats(**tables: DataFrame) -> DataFrame:
     return out
 
 
+def with_object(facts: DataFrame, entities: DataFrame, name: str) -> DataFrame:
+    """Facts with the name of their object as ``name``; those without an object are spread by subject."""
+    o = entities.select(F.col("id").alias("__k"), F.col("id").alias("object_id"), F.col("name").alias(name))
+    keyed = facts.withColumn("__k", F.coalesce("object_id", F.concat_ws(":", F.lit(""), "subject_id", "predicate")))
+    return spread(keyed, "__k", "object_id").join(spread(o, "__k", "object_id").hint("merge"), ["__k", "object_id"], "left").drop("__k")
+
+
 def with_names(facts: DataFrame, entities: DataFrame) -> DataFrame:
     """Facts with ``subject_name`` and ``object_name``; an unknown id stands for itself, none is "unknown"."""
     s = entities.select(F.col("id").alias("subject_id"), F.col("name").alias("__s"))
-    o = entities.select(F.col("id").alias("object_id"), F.col("name").alias("__o"))
-    named = facts.join(s, "subject_id", "left").join(o, "object_id", "left")
+    # The subject last: what goes on by subject needs no further shuffle.
+    named = spread(with_object(facts, entities, "__o"), "subject_id").join(spread(s, "subject_id").hint("merge"), "subject_id", "left")
     return named.select(*facts.columns, F.coalesce("__s", "subject_id", F.lit("unknown")).alias("subject_name"), F.coalesce("__o", "object_id").alias("object_name"))
 
 

@@ -26,3 +26,9 @@ def test_exact_resolution_compares_nothing(spark):
     df = resolve.resolve(spark.createDataFrame([("kiln",), ("OVEN",), ("none",)], "mention string"), e, threshold=101)
     assert {r.mention: (r.entity_id, r.how) for r in df.where("how <> 'new'").collect()} == {"kiln": ("1", "exact"), "OVEN": ("2", "alias")}
     assert "Python" not in plan(df) and "Window" not in plan(df) and df.count() == 3
+
+
+def test_facts_without_an_object_are_spread(spark):
+    f, e = facts(spark)
+    df = store.with_names(f, e)
+    assert partitions(df) == 4 and df.where("subject_name = 'one' AND object_name IS NULL").count() == 1 and df.count() == 400
