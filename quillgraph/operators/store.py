@@ -101,10 +101,10 @@ def with_names(facts: DataFrame, entities: DataFrame) -> DataFrame:
 def reverse_lookup(facts: DataFrame, entities: DataFrame, wanted: DataFrame) -> DataFrame:
     """Facts whose object holds a text, by value or by the object's name, for ``wanted`` of (qid, predicate, needle).
 
-    Predicates are matched by equality, so the join is hashed; case is ignored in the needle.
+    Predicates are matched by equality, and the lookups are broadcast: a shuffle
+    by predicate would put all facts of one into a task. Case is ignored in the needle.
     """
-    o = entities.select(F.col("id").alias("object_id"), F.col("name").alias("object_name"))
-    hit = facts.join(wanted, "predicate").join(o, "object_id", "left")
+    hit = with_object(facts.join(F.broadcast(wanted), "predicate"), entities, "object_name")
     n = F.lower("needle")
     return hit.where(F.contains(F.lower(F.coalesce("object_value", F.lit(""))), n) | F.contains(F.lower(F.coalesce("object_name", F.lit(""))), n))
 

@@ -32,3 +32,9 @@ def test_facts_without_an_object_are_spread(spark):
     f, e = facts(spark)
     df = store.with_names(f, e)
     assert partitions(df) == 4 and df.where("subject_name = 'one' AND object_name IS NULL").count() == 1 and df.count() == 400
+
+
+def test_lookups_are_not_shuffled_by_predicate(spark):
+    f, e = facts(spark)
+    df = store.reverse_lookup(f, e, spark.createDataFrame([(1, "is", "BIG")], "qid int, predicate string, needle string"))
+    assert partitions(df) == 4 and df.count() == 400
