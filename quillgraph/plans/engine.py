@@ -187,7 +187,7 @@ class KnowledgeBase:
         # Facts of the nodes themselves: literal facts of a seed count even where it has no edge.
         mine = nodes.select("qid", F.col("node").alias("subject_id")).join(facts, "subject_id").select("qid", *facts.columns)
         kept = assemble.dedup(store.active(mine, c.min_confidence), ["qid"])
-        return assemble.trim(assemble.rank(store.with_names(kept, entities), questions), c.token_budget)
+        return assemble.trim(assemble.rank(store.with_names(kept, entities), questions, assemble.most_lines(c.token_budget)), c.token_budget)
 
     def _synthesize(self, questions: DataFrame, lines: DataFrame) -> DataFrame:
         """One call for each question that has facts; labels become fact ids, and the answer is scored against the facts."""

@@ -519,10 +519,11 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, conf
 ln AS (SELECT *, 'F' || rank || ': ' || subject_name || ' -- ' || predicate || ' --> ' || coalesce(obj, 'unknown') AS line FROM rk)"""
 
 
-def ranked(spark, d):
+def ranked(spark, d, most=None):
     f = named_facts(spark, d)
     qs = spark.createDataFrame(RANK_QUESTIONS, "qid long, text string")
-    return assemble.rank(f.crossJoin(qs.select("qid")), qs)
+    qs = F.broadcast(qs)  # two rows; by a shuffle each question's facts are one task
+    return assemble.rank(f.crossJoin(qs.select("qid")), qs, most)
 
 
 @query(f"WITH {FACTS}, {NODES}, {GEO}, {NAMED} SELECT qid, id, overlap, rank FROM ln")
@@ -532,7 +533,7 @@ def fact_rank_overlap(spark, d):
 
 @query(f"WITH {FACTS}, {NODES}, {GEO}, {NAMED}, sp AS (SELECT qid, id, line, round(sum(len({WORDS.format('line')})) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) * 1.3::DOUBLE, 1) AS spent FROM ln) SELECT * FROM sp WHERE spent <= 600")
 def token_budget_trim(spark, d):
-    return assemble.trim(ranked(spark, d)).select("qid", "id", "line", "spent")
+    return assemble.trim(ranked(spark, d, assemble.most_lines(assemble.BUDGET))).select("qid", "id", "line", "spent")
 
 
 @query(f"""WITH {FACTS}, {GEO}, e AS (SELECT subject_id AS src, object_id AS dst FROM geo WHERE object_id = 'n:2') SELECT DISTINCT 1 AS qid, id FROM facts WHERE subject_id IN (SELECT src FROM e) OR object_id IN (SELECT dst FROM e)""")
@@ -595,7 +596,7 @@ def synthesis_confidence(spark, d):
 
 @query(f"WITH {FACTS}, {NODES}, {GEO}, {NAMED}, s AS (SELECT qid, sum(length(line) + 1) AS chars FROM ln WHERE rank <= 20 GROUP BY qid) SELECT v.qid, greatest((400 + length(text) + coalesce(chars, 0) + 8) // 4, 1)::BIGINT AS tokens FROM {values(RANK_QUESTIONS, 'qid', 'text')} LEFT JOIN s USING (qid)")
 def token_estimate(spark, d):
-    lines = assemble.trim(ranked(spark, d), 10**9).where("rank <= 20")
+    lines = assemble.trim(ranked(spark, d, 20), 10**9).where("rank <= 20")
     return synth.tokens_used(lines, spark.createDataFrame(RANK_QUESTIONS, "qid long, text string"), 400)
 
 

@@ -38,3 +38,19 @@ def test_lookups_are_not_shuffled_by_predicate(spark):
     f, e = facts(spark)
     df = store.reverse_lookup(f, e, spark.createDataFrame([(1, "is", "BIG")], "qid int, predicate string, needle string"))
     assert partitions(df) == 4 and df.count() == 400
+
+
+def test_trim_lets_rows_go_before_the_shuffle(spark):
+    assert "WindowGroupLimit" in plan(QUERIES["token_budget_trim"](spark, FOLDER))
+    f, e = facts(spark)
+    named = store.with_names(f.withColumn("predicate", F.when(F.col("id") < "f398", F.col("predicate"))), e).withColumn("confidence", F.when(F.col("id") == "f399", 0.1).otherwise(0.5))
+    qs = spark.createDataFrame([(1, "one big kiln")], "qid long, text string")
+    asked = named.crossJoin(F.broadcast(qs.select("qid")))
+    every = assemble.rank(asked, qs)
+    rows = lambda df: sorted((r.id, r["rank"], r.spent) for r in df.collect())
+    assert sorted(r["rank"] for r in every.collect()) == list(range(1, 401))
+    assert rows(assemble.trim(every, 30)) == rows(assemble.trim(assemble.rank(asked, qs, assemble.most_lines(30)), 30)) != []
+
+
+def test_estimate_lets_rows_go_before_the_shuffle(spark):
+    assert "WindowGroupLimit" in plan(QUERIES["token_estimate"](spark, FOLDER))
