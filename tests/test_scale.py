@@ -54,3 +54,10 @@ def test_trim_lets_rows_go_before_the_shuffle(spark):
 
 def test_estimate_lets_rows_go_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(QUERIES["token_estimate"](spark, FOLDER))
+
+
+def test_hydrated_facts_are_one_join(spark):
+    f, _ = facts(spark)
+    df = store.hydrate(f.union(f.where("id = 'f1'")), spark.createDataFrame([("f1",), ("f1",), ("f2",)], "id string"))
+    assert plan(df).count("SortMergeJoin") == 1
+    assert sorted(r.id for r in df.collect()) == ["f1", "f1", "f2"] and df.columns == f.columns
