@@ -61,3 +61,8 @@ def test_hydrated_facts_are_one_join(spark):
     df = store.hydrate(f.union(f.where("id = 'f1'")), spark.createDataFrame([("f1",), ("f1",), ("f2",)], "id string"))
     assert plan(df).count("SortMergeJoin") == 1
     assert sorted(r.id for r in df.collect()) == ["f1", "f1", "f2"] and df.columns == f.columns
+
+
+def test_pages_are_parsed_by_few_rows(spark):
+    df = QUERIES["html_text"](spark, FOLDER)
+    assert "BatchEvalPython" in plan(df) and "ArrowEvalPython" not in plan(df)
