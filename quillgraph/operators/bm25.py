@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.session import discard, materialise, spread
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Pairs of query and document that a task scores, and the number of tasks beyond which it scores more.
+PAIRS, MAX_PARTS = 500_000, 10_000
 
 
 def alnum_terms(text: Column) -> Column:
@@ -30,7 +34,7 @@ def query_terms(queries: DataFrame, terms) -> DataFrame:
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("id").asc())
+    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -38,17 +42,30 @@ def search_documents(docs: DataFrame, queries: DataFrame, k: int = 3) -> DataFra
     """``qid, id, score, rank`` from ``id, text`` and ``qid, text``; only positive scores.
 
     idf = max(0, ln((N - df + 0.5) / (df + 0.5) + 1)) on alphanumeric terms.
+    Documents without a text count in N, not in their mean length.
+
+    Texts are read once; what is written holds the counts of the queries' terms, and
+    under the term "" the lengths of all documents. The terms of the queries are broadcast.
+    All that belongs to an id is then scored in one task, so pairs of query
+    and id, far more than there are counts, are never shuffled.
     """
     q = query_terms(queries, alnum_terms)
-    wanted = q.select("term").distinct()
-    t = docs.select("id", alnum_terms(F.coalesce("text", F.lit(""))).alias("terms"))
-    size = t.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    tf = t.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    wanted = q.select("term").distinct().union(docs.sparkSession.range(1).select(F.lit("").alias("term")))
+    t = docs.select("id", alnum_terms(F.col("text")).alias("terms"))
+    held = F.concat(F.array(F.lit("")), F.coalesce("terms", F.array().cast("array<string>")))
+    found = t.select("id", F.array_size("terms").alias("dl"), F.explode(held).alias("term")).join(F.broadcast(wanted), "term", "left_semi")
+    counts = materialise(found.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+    tf, lengths = counts.where("term <> ''"), counts.where("term = ''")
+    n, avgdl = lengths.agg(F.coalesce(F.sum("tf"), F.lit(0)), F.sum(F.col("dl") * F.col("tf")) / F.sum(F.when(F.col("dl").isNotNull(), F.col("tf")))).first()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(0.0), F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    weight = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = tf.join(df, "term").join(q, "term").crossJoin(size).groupBy("qid", "id").agg(F.round(F.sum(weight), 6).alias("score")).where("score > 0")
-    return _ranked(hits, k)
+    idf = F.greatest(F.lit(0.0), F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+    asked = q.join(df, "term").select("qid", "term", (F.col("qtf") * idf).alias("weight"))
+    weight = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl).cast("double")))
+    parts = min(n * q.select("qid").distinct().count() // PAIRS, MAX_PARTS)
+    hits = spread(tf, "id", least=parts).join(F.broadcast(asked), "term").groupBy("qid", "id").agg(F.round(F.sum(weight), 6).alias("score")).where("score > 0")
+    best = materialise(_ranked(hits, k), "best")
+    discard(counts)
+    return best
 
 
 def search_entities(entities: DataFrame, queries: DataFrame, k: int = 5, positive_only: bool = True) -> DataFrame:

@@ -41,13 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def spread(df: DataFrame, *keys) -> DataFrame:
-    """``df`` by ``keys`` in as many partitions as are set for shuffles, at any size.
+def spread(df: DataFrame, *keys, least: int = 0) -> DataFrame:
+    """``df`` by ``keys`` in as many partitions as are set for shuffles, at any size, or in ``least``.
 
     Left to itself the planner joins partitions up to a number of compressed
     bytes; ids and repeated words take ten times that in memory.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

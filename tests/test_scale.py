@@ -1,9 +1,14 @@
 """Plans whose memory of one task must not follow the size of the tables."""
 
+import re
+
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import assemble, resolve, store
-from quillgraph.plans.queries import QUERIES
+from quillgraph import session
+from quillgraph.operators import assemble, bm25, resolve, store
+from quillgraph.plans.queries import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -66,3 +71,29 @@ def test_hydrated_facts_are_one_join(spark):
 def test_pages_are_parsed_by_few_rows(spark):
     df = QUERIES["html_text"](spark, FOLDER)
     assert "BatchEvalPython" in plan(df) and "ArrowEvalPython" not in plan(df)
+
+
+def test_document_search_reads_texts_once_and_shuffles_no_pairs(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(bm25, "materialise", lambda df, name: (plans.append(plan(df)), session.materialise(df, name))[1], raising=False)
+    plans.append(plan(QUERIES["bm25_documents"](spark, FOLDER)))
+    assert sum(p.count("sf0.001/documents.parquet") for p in plans) == 1
+    assert not re.search(r"hashpartitioning\(qid#\w+, id#", "".join(plans))
+
+
+@pytest.mark.parametrize("pairs", [1, 500_000])
+def test_document_search_of_odd_rows(spark, tmp_path, monkeypatch, pairs):
+    monkeypatch.setattr(bm25, "PAIRS", pairs, raising=False)
+    texts = [(1, "kiln kiln oven"), (1, "kiln"), (2, None), (3, ""), (None, "oven"), (None, "Kiln, oven!"), (4, "oven"), (5, "oven"), (6, "the the the " * 40), (7, "dust ñ"), (7, "dust ñ")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "kiln oven oven"), (2, None), (3, "none"), (4, "the dust"), (4, "dust"), (None, "oven")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["bm25_documents"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(con.execute(ORACLE_SQL["bm25_documents"]).fetchall(), key=repr) != []
+
+
+def test_document_search_without_documents(spark):
+    none = spark.createDataFrame([], "id long, text string")
+    assert bm25.search_documents(none, spark.createDataFrame([(1, "kiln")], "qid long, text string")).count() == 0
